@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, neardup, packing
 
-_MODULES = (bpe,)
+_MODULES = (bpe, neardup, packing)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
