@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing, substrings
+from . import bpe, neardup, packing, quality, secrets, substrings
 
-_MODULES = (bpe, neardup, packing, substrings)
+_MODULES = (secrets, packing, quality, bpe, neardup, substrings)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
