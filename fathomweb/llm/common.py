@@ -44,14 +44,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there.
 
-    The files outlive any executor. They go when the driver's Python ends.
+    The files outlive any executor, and go when the driver's Python ends. ``by``: a column of few values that gets folders.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/fathomweb-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,10 +69,8 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def batches(
-    rows: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", chars: int = 4_000_000
-) -> Iterator[pa.RecordBatch]:
-    """Calls ``work`` on slices of Arrow batches that hold about ``chars`` bytes of text at most."""
+def slices(rows: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches that hold about ``chars`` bytes of text at most, one row at least."""
     for batch in rows:
         if not batch.num_rows:
             continue
@@ -81,12 +80,20 @@ def batches(
         while begin < batch.num_rows:
             before = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, before + chars, side="right")))
-            made = work(batch.slice(begin, end - begin))
-            if made is not None and made.num_rows:
-                yield made
+            yield batch.slice(begin, end - begin)
             begin = end
 
 
+def batches(
+    rows: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", chars: int = 4_000_000
+) -> Iterator[pa.RecordBatch]:
+    """Calls ``work`` on each of the slices."""
+    for part in slices(rows, text, chars):
+        made = work(part)
+        if made is not None and made.num_rows:
+            yield made
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
