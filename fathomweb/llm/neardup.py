@@ -237,6 +237,12 @@ def near_duplicates(
     return done.union(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with its columns, without the documents that aren't their component's first. Rows without id stay."""
+    gone = near_duplicates(docs, words_in_shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under similarity 0.8 of their two-word shingle sets."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), words_in_shingle=2)

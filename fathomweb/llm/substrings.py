@@ -298,12 +298,14 @@ def removed_digests(docs: DataFrame, window: int = WINDOW, m: int = MMER, hot: i
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, m: int = MMER, hot: int = HOT) -> DataFrame:
-    """``docs`` with all its columns; texts that hold repeats are replaced by their kept words, joined by a space. Other texts stay as they are."""
+    """``docs`` with all its columns; texts that hold repeats are replaced by their kept words, joined by a space. n_chars follows. Other texts stay as they are."""
     _, flagged, ranges = repeated_ranges(docs, window, m, hot)
     found = common.written(_kept(_same_document(flagged, ranges, "inner"), True).dropDuplicates(["doc_id", "text_hash"]), "kept")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"))
     keyed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(found, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(dict(docs.dtypes)["n_chars"])))
     return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
 
 
