@@ -7,10 +7,11 @@
 3. Classes that share a band's value form a bucket. A bucket's edges are a star: one centre, drawn by
    a hash, against the others. Their number is at most classes times bands, whatever the sizes of buckets.
 4. Every star edge is confirmed on the full sets; links are merged to components.
-5. The exact way for the rest: while a bucket still holds classes of different components, those
-   outside the first centre's component become centres one after the other (twice as many in each round),
-   and are compared with what is not in their own component. So no link between two classes that
-   ever share a bucket is lost. With 32 bands of 5 rows, two sets of similarity 0.8 share none with probability 3e-6.
+5. A bucket that then still holds classes of different components is refined: its members are dealt
+   by pairs of bands, then by three, so that what only shares a passage falls apart, and what is similar
+   stays together in many of the smaller buckets. Each of those has up to four (then eight) centres, which are
+   compared with what is not in their own component. A link is lost only if its two classes meet no centre
+   in any of them. With 32 bands of 5 rows, two sets of similarity 0.8 share no band with probability 3e-6.
 
 Sets are sets of 64-bit shingle hashes; two different shingles of a corpus pair are taken for
 equal with probability 2^-64 each.
@@ -36,6 +37,8 @@ from . import common
 from .components import components
 
 ROWS, BANDS = 5, 32
+#: How mixed buckets are refined, level by level: the further bands, by distance, and the number of centres.
+REFINED = ((range(1, 9), 4), (range(9, 15), 4), (range(15, 20), 8))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ATTEMPTS = 256
 
@@ -140,26 +143,32 @@ def _sets(docs: DataFrame, words_in_shingle: int) -> DataFrame:
 
 
 def _star(members: DataFrame, slots: int) -> DataFrame:
-    """(key, centre, centre_n): in each bucket and slot the member that a hash puts first."""
-    turn = F.xxhash64("rep", "key")
+    """(key, centre, centre_n, centre_component): in each bucket and slot the member that a hash puts first."""
+    turn = F.xxhash64("rep", "key", F.lit(slots))
     return (
         members.groupBy("key", F.pmod(turn, F.lit(slots)).alias("slot"))
-        .agg(F.min(F.struct(turn.alias("turn"), "rep", "n")).alias("first"))
-        .select("key", F.col("first.rep").alias("centre"), F.col("first.n").alias("centre_n"))
+        .agg(F.min(F.struct(turn.alias("turn"), "rep", "n", "component")).alias("first"))
+        .select("key", F.col("first.rep").alias("centre"), F.col("first.n").alias("centre_n"), F.col("first.component").alias("centre_component"))
     )
 
 
 def _pairs(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of centres and members whose sizes allow a link."""
+    """Distinct (a, b), a < b, of centres and members of other components whose sizes allow a link: members times slots at most."""
     return (
         members.join(centres, "key")
-        .where(F.col("rep") != F.col("centre"))
+        .where(F.col("component") != F.col("centre_component"))
         .where(F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent)
         .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         .distinct()
     )
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    return members.join(keys, "key")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that the full sets confirm."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -186,48 +195,24 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     )
     classes = common.written(classes, "classes")
-    keys = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
-    members = common.written(keys.join(shared, "key"), "members")
+    members = classes.select(F.posexplode("keys").alias("band", "key"), "rep", "n", F.col("rep").alias("component"))
+    members = common.written(_mixed(members), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.written(_sets(_ids(docs).join(wanted, "doc_id", "left_semi"), words_in_shingle), "sets")
-
+    common.release_shuffles(spark)
     links = common.written(_links(_pairs(members, _star(members, 1), percent), sets, percent), "links")
     found = components(links)
-    slots = 1
-    first = _star(members, 1).select("key", F.col("centre").alias("chief"))
-    left = members.join(first, "key").where("rep != chief")  # chiefs have met everyone
-    while True:
-        part = found.select(F.col("node").alias("rep"), "component")
-        chief = found.select(F.col("node").alias("chief"), F.col("component").alias("own"))
-        labelled = (
-            left.select("key", "rep", "n", "chief").join(part, "rep", "left").join(chief, "chief", "left")
-            .select("key", "rep", "n", "chief", F.coalesce("component", "rep").alias("component"), F.coalesce("own", "chief").alias("own"))
-        )
-        mixed = labelled.where("component != own").groupBy("key").agg(F.count("*").alias("strangers"))
-        # a bucket is settled if none is outside the chief's component, or if one is and nobody else is left
-        labelled = common.written(labelled.join(mixed, "key"), "open")
-        strangers = labelled.where("component != own")
-        centres = _star(strangers.select("key", "rep", "n"), slots)
-        used = centres.join(strangers.select("key", F.col("rep").alias("centre"), F.col("component").alias("centre_component")), ["key", "centre"])
-        pairs = _pairs(
-            labelled.join(used, "key").where("component != centre_component").select("key", "rep", "n", "centre", "centre_n")
-            .drop("centre", "centre_n").distinct(),
-            centres, percent,
-        )
-        pairs = common.written(pairs, "pairs")
-        if not strangers.take(1):
-            break
-        if pairs.take(1):
-            more = common.written(_links(pairs, sets, percent), "links")
-            if more.take(1):
-                links = links.union(more)
-                found = components(links)
-        left = common.written(
-            labelled.select("key", "rep", "n", "chief").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti"), "left"
-        )
-        slots *= 2
-    common.release_shuffles(spark)
+    for offsets, slots in REFINED:
+        label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
+        labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
+        other = F.array(*(F.get("keys", F.pmod(F.col("band") + o, F.lit(bands))) for o in offsets))
+        finer = _mixed(labelled).join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
+        members = common.written(_mixed(finer.select(F.xxhash64("outer", "inner").alias("key"), "band", "rep", "n", "component")), "members")
+        more = common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links")
+        common.release_shuffles(spark)
+        if more.take(1):
+            links = links.union(more)
+            found = components(links)
     of_rep = found.select(F.col("node").alias("rep"), "component")
     of_class = classes.select("set_a", "set_b", "rep").join(of_rep, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     # rows that share a doc_id are one document, so its least component counts for all of them
