@@ -291,8 +291,8 @@ class _Partition:
         cat = lambda xs, kind: np.concatenate([np.empty(0, dtype=kind), *xs])
         self.w = cat([np.repeat(g[0], g[1].astype(_I64)) for g in got], _U64)
         self.u = cat([g[2][g[3].astype(_I64)] for g in got], _U64)
-        self.text = cat([g[4].astype(_I64) for g in got], _I64)
-        self.times = cat([g[5].astype(_I64) for g in got], _I64)
+        self.text = cat([g[4] for g in got], np.uint8)  # in the least width that any chunk needs
+        self.times = cat([g[5] for g in got], np.uint8)
         self.train = cat([g[6][g[4].astype(_I64)] == 0 for g in got], bool)
         del got
         order = np.lexsort((self.u, self.w))
@@ -301,13 +301,14 @@ class _Partition:
         new = new_word | np.concatenate(([True], u[1:] != u[:-1])) if len(w) else new_word
         first, first_word = np.flatnonzero(new), np.flatnonzero(new_word)
         counted = np.where(self.train, self.times, 0)[order]
-        total = lambda at: np.add.reduceat(counted, at) if len(at) else np.empty(0, dtype=_I64)
+        total = lambda at: np.add.reduceat(counted, at, dtype=_I64) if len(at) else np.empty(0, dtype=_I64)
         words, of_word = w[first_word], total(first_word)
         if len(known.spread) and len(words):
             at = np.minimum(np.searchsorted(known.spread, words), len(known.spread) - 1)
             of_word = np.where(known.spread[at] == words, known.spread_counts[at], of_word)
         self.type_w, self.type_u, self.type_c = w[first], u[first], total(first)  # distinct bigrams and c(u, w)
         self.type_cw = of_word[np.cumsum(new_word)[first] - 1]  # c(w)
+        del self.w, counted, u
         self.type_of = np.empty(len(w), dtype=_I64)
         self.type_of[order] = np.cumsum(new) - 1
 
