@@ -8,10 +8,27 @@ from pyspark.sql import functions as F
 from fathomweb.functions import scalars, urls
 
 
+#: Four decimal numbers, each up to 255.
+IPV4 = r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
+
+
 def resolved(states: DataFrame, host_ip: DataFrame) -> DataFrame:
-    """(authority, host, ip): looked up; ip is null where the table has none."""
+    """(authority, host, ip): from the table, else localhost, else a literal address; ip is null where none of them has it."""
     keyed = states.select("authority", urls.host(F.col("authority")).alias("host"))
-    return keyed.join(host_ip.select("host", "ip"), "host", "left").select("authority", "host", "ip")
+    literal = F.when(F.col("host") == "localhost", "127.0.0.1").when(F.col("host").rlike(IPV4), F.col("host"))
+    return keyed.join(host_ip.select("host", "ip"), "host", "left").select("authority", "host", F.coalesce("ip", literal).alias("ip"))
+
+
+def fetch_round(picked: DataFrame, states: DataFrame, pages: DataFrame, now: int, authority_delay: int, ip_delay: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of fetching: the first path-query of each picked authority.
+
+    ``picked`` (ip, authority), ``states`` (authority, path_queries). Returns responses (url, status, body), the states
+    left with their next fetch, and the next fetch (ip, at) of the addresses used.
+    """
+    first = picked.join(states, "authority").where(F.size("path_queries") > 0)
+    responses = offline_fetch(first.select(F.concat("authority", F.element_at("path_queries", 1)).alias("url")), pages.withColumn("url", urls.normalize(F.col("url"))))
+    left = first.select("authority", "ip", F.lit(now + authority_delay).cast("bigint").alias("next_fetch"), F.slice("path_queries", F.lit(2), F.size("path_queries")).alias("path_queries"))
+    return responses, left, first.select("ip", F.lit(now + ip_delay).cast("bigint").alias("at")).distinct()
 
 
 def dns_step(attempts: DataFrame, now: int, base_wait: int = scalars.DEFAULT_WAIT, most: int = 2) -> DataFrame:

@@ -604,10 +604,10 @@ def adaptive_front(spark, sf_dir):
 
 @query("select count(*) as ips, count(*) filter (busy) as busy, (select count(*) from events) as queued, (select count(distinct user_id) from events) as authorities from " + _ENTRIES)
 def queue_gauges(spark, sf_dir):
-    t = read(spark, sf_dir, "events")
-    sizes = t.agg(F.count("*").alias("queued"), F.count_distinct("user_id").alias("authorities"))
+    t = read(spark, sf_dir, "events").agg(F.count("*").alias("queued"), F.count_distinct("user_id").alias("authorities"))
     own = _entries(spark, sf_dir).agg(F.count("*").alias("ips"), F.count_if("busy").alias("busy"))
-    return own.withColumn("k", F.lit(1)).join(sizes.withColumn("k", F.lit(1)), "k").select("ips", "busy", "queued", "authorities")
+    both = own.unionByName(t, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in ("ips", "busy", "queued", "authorities")))
 
 
 @query("select conv_id, count(*) as n, count(distinct role) as roles from conversations group by conv_id")
@@ -735,6 +735,20 @@ def fetch_offline(spark, sf_dir):
     return fetching.offline_fetch(t.where("page_id % 2 = 0").select("url").union(frontier.new_links(t).select("url")).distinct(), t)
 
 
+_PATHS = f"(select {_authority('url')} as authority, list({_path_query('url')} order by page_id) as paths from pages group by 1)"
+
+
+@query(f"select authority || paths[1] as url, 200::int as status, len(paths) - 1 as left_over, {NOW + 2000}::bigint as next_fetch from {_PATHS}")
+def fetch_round(spark, sf_dir):
+    """A round in which every authority is visited: one page each, the rest of the queue with its next time."""
+    pages = read(spark, sf_dir, "pages")
+    states = frontier.visit_states(pages.select("url", F.col("page_id").alias("seq")), 1_000_000).select("authority", "path_queries")
+    picked = states.select("authority", F.lit("127.0.0.1").alias("ip"))
+    responses, left, _ = fetching.fetch_round(picked, states, pages, NOW, 2000, 2000)
+    own = left.select("authority", F.size("path_queries").cast("bigint").alias("left_over"), "next_fetch")
+    return responses.withColumn("authority", urls.authority(F.col("url"))).join(own, "authority").select("url", "status", "left_over", "next_fetch")
+
+
 # ---------------------------------------------------------------- storage, statistics, seeds
 
 @query("select url, sha256(html) as digest, url <> first_value(url) over (partition by html order by url) as is_duplicate, lower(regexp_extract(html, '(?i)charset\\s*=\\s*[\"'']?([A-Za-z0-9_-]+)', 1)) as charset from pages")

@@ -101,6 +101,14 @@ def test_outcomes(spark, exception, most, killer):
         assert r.outcome == ("retry" if counter < most else "purge" if killer else "skip")
 
 
+def test_resolving(spark):
+    states = spark.createDataFrame([(f"http://{h}",) for h in ("a.test", "localhost:80", "10.0.0.1", "10.0.0.256", "cafe", "b.test")], "authority string")
+    table = spark.createDataFrame([("a.test", "1.1.1.1"), ("localhost", "9.9.9.9")], "host string, ip string")
+    got = {r.host: r.ip for r in fetching.resolved(states, table).collect()}
+    assert got == {"a.test": "1.1.1.1", "localhost": "9.9.9.9", "10.0.0.1": "10.0.0.1", "10.0.0.256": None, "cafe": None, "b.test": None}
+    assert fetching.resolved(states, table.where("false")).where("host = 'localhost'").first().ip == "127.0.0.1"
+
+
 def test_cookies_below_the_limit(spark):
     df = spark.createDataFrame([("o", i, "n", "v" * n, None, "/") for i, n in enumerate((3, 3, 2, 1))], "owner string, pos int, name string, value string, domain string, path string")
     assert [r.pos for r in frontier.limited_cookies(df, 10).collect()] == [0]
