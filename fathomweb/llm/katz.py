@@ -321,7 +321,7 @@ def _split(rows: pa.Table) -> tuple[list[int], list[bytes], pa.Table]:
 
 
 def _bigram_counts(chunks: DataFrame, known: Unigrams) -> DataFrame:
-    """One row: counts of counts of all bigrams, as lists."""
+    """One row (one = 0): counts of counts of all bigrams, as a list."""
     model = chunks.sparkSession.sparkContext.broadcast(known)
 
     def count(rows: pa.Table) -> pa.Table:
@@ -329,10 +329,10 @@ def _bigram_counts(chunks: DataFrame, known: Unigrams) -> DataFrame:
         c = _Partition(packed, model.value).type_c
         n = np.bincount(c[(c > 0) & (c < _COUNTED)], minlength=2)
         at = np.flatnonzero(n)
-        return pa.table({"c": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
+        return pa.table({"one": pa.array(np.zeros(len(at), dtype=np.int32)), "c": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
 
-    counts = chunks.groupBy("part").applyInArrow(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
-    return counts.agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("of_counts"))  # fewer than _COUNTED entries
+    counts = chunks.groupBy("part").applyInArrow(count, "one int, c bigint, n bigint").groupBy("one", "c").agg(F.sum("n").alias("n"))
+    return counts.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("of_counts"))  # fewer than _COUNTED entries
 
 
 DOCS, SUMS, STATS, ASKED, OFTEN_STATS, OFTEN_ASKED = range(6)
@@ -467,7 +467,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     parts = max(6, -(-(known.tokens * folds) // ((folds - 1) * PARTITION)))
     chunks = _bigram_chunks(prepared, known, parts).repartition(parts, "part")
     counts = _bigram_counts(chunks, known)
-    both = chunks.withColumn("one", F.lit(1)).join(F.broadcast(counts.withColumn("one", F.lit(1))), "one", "left").drop("one")
+    both = chunks.withColumn("one", F.pmod("part", F.lit(1))).join(F.broadcast(counts), "one", "left").drop("one")  # the same row for all
     table = common.written(_scored(both, known, parts), "bigrams", by="kind")
     common.release_shuffles(spark)
     added = common.written(_backed_off(table), "backoff")
