@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -17,6 +19,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="fathomweb-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/fathomweb-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
