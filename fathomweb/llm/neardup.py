@@ -202,17 +202,20 @@ def near_duplicates(
     common.release_shuffles(spark)
     links = common.written(_links(_pairs(members, _star(members, 1), percent), sets, percent), "links")
     found = components(links)
+    label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
+    members = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
+    more = []
     for offsets, slots in REFINED:
-        label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-        labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
         other = F.array(*(F.get("keys", F.pmod(F.col("band") + o, F.lit(bands))) for o in offsets))
-        finer = _mixed(labelled).join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
+        finer = _mixed(members).join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
         members = common.written(_mixed(finer.select(F.xxhash64("outer", "inner").alias("key"), "band", "rep", "n", "component")), "members")
-        more = common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links")
+        more.append(common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links"))
         common.release_shuffles(spark)
-        if more.take(1):
-            links = links.union(more)
-            found = components(links)
+    late = more[0]
+    for x in more[1:]:
+        late = late.union(x)
+    if late.take(1):
+        found = components(links.union(late))
     of_rep = found.select(F.col("node").alias("rep"), "component")
     of_class = classes.select("set_a", "set_b", "rep").join(of_rep, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     # rows that share a doc_id are one document, so its least component counts for all of them
