@@ -6,7 +6,8 @@
 2. Documents with equal sets are one class, found by aggregation; only classes go on.
 3. Classes that share a band's value form a bucket. A bucket's edges are a star: one centre, drawn by
    a hash, against the others. Their number is at most classes times bands, whatever the sizes of buckets.
-4. Every star edge is confirmed on the full sets; links are merged to components.
+4. Every star edge is confirmed on the full sets; links are merged to components. The first bands are done before
+   the others, of which only buckets that hold several components are left.
 5. A bucket that then still holds classes of different components is refined: its members are dealt
    by pairs of bands, then by three, so that what only shares a passage falls apart, and what is similar
    stays together in many of the smaller buckets. Each of those has up to four (then eight) centres, which are
@@ -37,6 +38,8 @@ from . import common
 from .components import components
 
 ROWS, BANDS = 5, 32
+#: Bands whose stars come first.
+FIRST = 4
 #: How mixed buckets are refined, level by level: the further bands, by distance, and the number of centres.
 REFINED = ((range(1, 9), 4), (range(9, 15), 4), (range(15, 20), 8))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,19 +198,22 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     )
     classes = common.written(classes, "classes")
-    members = classes.select(F.posexplode("keys").alias("band", "key"), "rep", "n", F.col("rep").alias("component"))
-    members = common.written(_mixed(members), "members")
+    buckets = classes.select(F.posexplode("keys").alias("band", "key"), "rep", "n", F.col("rep").alias("component"))
+    members = common.written(_mixed(buckets), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.written(_sets(_ids(docs).join(wanted, "doc_id", "left_semi"), words_in_shingle), "sets")
     common.release_shuffles(spark)
-    links = common.written(_links(_pairs(members, _star(members, 1), percent), sets, percent), "links")
+    # a few bands first: large groups become components, and their other buckets need no pairs at all
+    few = members.where(F.col("band") < FIRST)
+    links = common.written(_links(_pairs(few, _star(few, 1), percent), sets, percent), "links")
     found = components(links)
     label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-    members = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
-    more = []
+    labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
+    members = common.written(_mixed(labelled), "members")
+    more = [common.written(_links(_pairs(members, _star(members, 2), percent), sets, percent), "links")]
     for offsets, slots in REFINED:
         other = F.array(*(F.get("keys", F.pmod(F.col("band") + o, F.lit(bands))) for o in offsets))
-        finer = _mixed(members).join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
+        finer = members.join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
         members = common.written(_mixed(finer.select(F.xxhash64("outer", "inner").alias("key"), "band", "rep", "n", "component")), "members")
         more.append(common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links"))
         common.release_shuffles(spark)
