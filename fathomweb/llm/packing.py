@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,71 +32,100 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs. The bins that a group leaves half full are all that grouping costs.
 GROUP = 20_000
+#: Words of more bytes are not kept for reuse.
+LONG = 200
 
 
 class WordIds(dict):
-    """Packed ids of words (bytes without ASCII white space), at most ``most`` of them.
+    """Packed ids of words (bytes without ASCII white space), ``most`` to twice as many of the last ones.
 
     The tokenizer drops white space and never looks across it, so a text's ids are its words' ids
     one after the other, and the library encodes each distinct word once. Letters and the ASCII
     punctuation behind them are separate for it too; so many unseen words of letters alone are
-    encoded as one text and told apart by the ids that end a word.
+    encoded as one text and told apart by the ids that end a word. When ``most`` words are
+    kept they become the older ones, and those of them that come up again are taken over.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library, self.most, self.older = Tokenizer.from_file(path), most, {}
         self.ends = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.tails = {"": b""}
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._packed(text).tobytes()
+
+    def _packed(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Packed ids of words of letters."""
-        got = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[got]) + 1
+        got = self._packed(" ".join(words))
+        cuts = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
         if len(cuts) != len(words):
             return [self._one(w) for w in words]
-        packed, cuts = got.tobytes(), [0, *(4 * cuts).tolist()]
-        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        packed = got.tobytes()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _known(self, word: bytes) -> bool:
+        """Whether the word is kept; an older one is taken over."""
+        if word in self:
+            return True
+        found = self.older.get(word)
+        if found is not None:
+            self[word] = found
+        return found is not None
 
     def _learn(self, unseen: list[bytes]) -> None:
-        split: dict[str, list[tuple[bytes, str]]] = {}
-        for word in unseen:
-            text = word.decode()
+        cores, tailed = [], []
+        for word, text in zip(unseen, b" ".join(unseen).decode().split(" ") if unseen else ()):
+            if text.isalpha():
+                cores.append(text)
+                continue
             core = text.rstrip(string.punctuation)
-            if core.isalpha():
-                split.setdefault(core, []).append((word, text[len(core) :]))
+            if core.isalpha() and len(core) <= LONG:
+                tailed.append((word, core.encode(), text[len(core) :]))
             else:
                 self[word] = self._one(text)
-        cores = list(split)
-        for begin in range(0, len(cores), 4000):
-            part = cores[begin : begin + 4000]
-            for core, packed in zip(part, self._letters(part)):
-                for word, tail in split[core]:
-                    if tail not in self.tails:
-                        if len(self.tails) > 10_000:
-                            self.tails = {"": b""}
-                        self.tails[tail] = self._one(tail)
-                    self[word] = packed + self.tails[tail]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        words = [x.encode().split() for x in texts]
+        there = set(cores)
+        cores += [x for x in {c.decode() for _, c, _ in tailed if not self._known(c)} if x not in there]
+        for begin in range(0, len(cores), 1000):
+            part = cores[begin : begin + 1000]
+            self.update(zip(map(str.encode, part), self._letters(part)))
+        for word, core, tail in tailed:
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._one(tail)
+            self[word] = self[core] + self.tails[tail]
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Packed ids of each text; null counts as empty. Arrow numbers the words, so Python sees a slice's distinct ones."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
-        unseen = list(set().union(*words).difference(self))
+        unseen = [w for w in words if not self._known(w)]
         self._learn(unseen)
-        found = [b"".join([self[w] for w in x]) for x in words]
+        own = list(map(self.__getitem__, words))
         for word in unseen:
-            if len(word) > 200:
+            if len(word) > LONG:
                 del self[word]
-        return found
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        where = np.repeat(begins[place] - ends[:-1], n) + np.arange(ends[-1])
+        packed = np.frombuffer(b"".join(own), dtype="<u4")[where].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(1)
@@ -110,7 +140,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, piece, start, length, crc = [], [], [], [], []
-        for row, packed in enumerate(word_ids(tokenizer).ids(common.texts_of(batch))):
+        for row, packed in enumerate(word_ids(tokenizer).ids(batch.column(1))):
             packed += end
             for k, begin in enumerate(range(0, len(packed), 4 * capacity)):
                 part = packed[begin : begin + 4 * capacity]
