@@ -11,7 +11,7 @@
 5. A bucket that then still holds classes of different components is refined: its members are dealt
    by pairs of bands, then by three, so that what only shares a passage falls apart, and what is similar
    stays together in many of the smaller buckets. Each of those has up to four (then eight) centres, which are
-   compared with what is not in their own component. A link is lost only if its two classes meet no centre
+   compared with what is not in their own component; components are merged after each level. A link is lost only if its two classes meet no centre
    in any of them. With 32 bands of 5 rows, two sets of similarity 0.8 share no band with probability 3e-6.
 
 Sets are sets of 64-bit shingle hashes; two different shingles of a corpus pair are taken for
@@ -172,6 +172,12 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(keys, "key")
 
 
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the components found so far; one without links is its own."""
+    label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
+    return members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that the full sets confirm."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -207,21 +213,21 @@ def near_duplicates(
     few = members.where(F.col("band") < FIRST)
     links = common.written(_links(_pairs(few, _star(few, 1), percent), sets, percent), "links")
     found = components(links)
-    label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-    labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
-    members = common.written(_mixed(labelled), "members")
-    more = [common.written(_links(_pairs(members, _star(members, 2), percent), sets, percent), "links")]
+    members = common.written(_mixed(_labelled(members, found)), "members")
+    links = links.union(common.written(_links(_pairs(members, _star(members, 2), percent), sets, percent), "links"))
     for offsets, slots in REFINED:
+        # what has become one component meanwhile needs no more pairs
+        found = components(links)
+        members = common.written(_mixed(_labelled(members, found)), "members")
+        if not members.take(1):
+            break
         other = F.array(*(F.get("keys", F.pmod(F.col("band") + o, F.lit(bands))) for o in offsets))
         finer = members.join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
         members = common.written(_mixed(finer.select(F.xxhash64("outer", "inner").alias("key"), "band", "rep", "n", "component")), "members")
-        more.append(common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links"))
+        links = links.union(common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links"))
         common.release_shuffles(spark)
-    late = more[0]
-    for x in more[1:]:
-        late = late.union(x)
-    if late.take(1):
-        found = components(links.union(late))
+    else:
+        found = components(links)
     of_rep = found.select(F.col("node").alias("rep"), "component")
     of_class = classes.select("set_a", "set_b", "rep").join(of_rep, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     # rows that share a doc_id are one document, so its least component counts for all of them
