@@ -8,11 +8,11 @@
    a hash, against the others. Their number is at most classes times bands, whatever the sizes of buckets.
 4. Every star edge is confirmed on the full sets; links are merged to components. The first bands are done before
    the others, of which only buckets that hold several components are left.
-5. A bucket that then still holds classes of different components is refined: its members are dealt
-   by pairs of bands, then by three, so that what only shares a passage falls apart, and what is similar
-   stays together in many of the smaller buckets. Each of those has up to four (then eight) centres, which are
-   compared with what is not in their own component. A link is lost only if its two classes meet no centre
-   in any of them. With 32 bands of 5 rows, two sets of similarity 0.8 share no band with probability 3e-6.
+5. The classes of buckets that then still hold several components are the rest. It is compared exactly, by
+   prefixes of the full sets (Xiao et al., Efficient Similarity Joins for Near Duplicate Detection, 2008): sets are
+   ordered by how common a shingle is, rare ones first, and two sets that are linked share one of the first few. What
+   sets share with many others comes last, so passages of a large group bring no pairs. A link is lost only if
+   its two classes share no band. With 32 bands of 5 rows, two sets of similarity 0.8 share none with probability 3e-6.
 
 Sets are sets of 64-bit shingle hashes; two different shingles of a corpus pair are taken for
 equal with probability 2^-64 each.
@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from .components import components
 ROWS, BANDS = 5, 32
 #: Bands whose stars come first.
 FIRST = 4
-#: How mixed buckets are refined, level by level: the further bands, by distance, and the number of centres.
-REFINED = ((range(1, 9), 4), (range(9, 15), 4), (range(15, 20), 8))
+#: How common shingles are is counted in so many cells of hashes, sent in so many slices.
+CELLS, SLICES = 1 << 20, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ATTEMPTS = 256
 
@@ -183,6 +184,92 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all sets of a batch, and where each set begins and ends."""
+    lists = batch.column(batch.schema.get_field_index("shingles"))
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(CELLS)).astype(np.int64)
+
+
+def _loads(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each cell. Any numbers give right links; these keep common shingles last."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(CELLS, dtype=np.int64)
+        for batch in rows:
+            found += np.bincount(_cells(_flat(batch)[0]), minlength=CELLS)
+        some = [(i, zstandard.compress(x.tobytes(), 1)) for i, x in enumerate(found.reshape(SLICES, -1)) if x.any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["slice", "packed"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zstandard.decompress(x), dtype=np.int64) for x in rows.column("packed").to_pylist())
+        return pa.table({"slice": rows.column("slice")[:1], "packed": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+    kind = "slice int, packed binary"
+    loads = np.zeros((SLICES, CELLS // SLICES), dtype=np.int64)
+    for r in sets.select("shingles").mapInArrow(count, kind).groupBy("slice").applyInArrow(add, kind).collect():  # SLICES rows
+        loads[r.slice] = np.frombuffer(zstandard.decompress(bytes(r.packed)), dtype=np.int64)
+    return loads.reshape(-1)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, at, least, id, component, n): of each set the shingles one of which it shares with each linked set, by place.
+
+    ``least``: whether it is also among those that it shares with linked sets which are not smaller.
+    """
+    loads = sets.sparkSession.sparkContext.broadcast(_loads(sets))
+    kinds = dict(sets.dtypes)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            flat, ends = _flat(batch)
+            tokens, sizes = [], []
+            for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                s = flat[begin:end]
+                s = s[np.lexsort((s, loads.value[_cells(s)]))]
+                tokens.append(s[: max(0, len(s) + (-percent * len(s) // 100) + 1)])
+                sizes.append(len(tokens[-1]))
+            if not sum(sizes):
+                continue
+            sizes = np.array(sizes)
+            row, n = np.repeat(np.arange(len(sizes)), sizes), np.diff(ends)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            least = at < (n + (-2 * percent * n // (100 + percent)) + 1)[row]
+            taken = batch.select(["id", "component"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(common.signed(np.concatenate(tokens))), pa.array(at, pa.int32()), pa.array(least), taken.column(0), taken.column(1), pa.array(n[row], pa.int32())],
+                names=["token", "at", "least", "id", "component", "n"],
+            )
+
+    return sets.select("id", "component", "shingles").mapInArrow(run, f"token bigint, at int, least boolean, id {kinds['id']}, component {kinds['component']}, n int")
+
+
+def _rest_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different components of ``sets`` (id, component, shingles): all that can be linked.
+
+    The first shingle that two linked sets share is in both prefixes, and what follows it in either is enough for the link.
+    """
+    found = common.written(_prefixes(sets, percent), "prefixes")
+    # a token of one component alone brings no pairs
+    tokens = found.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("least").alias("any")).where("lo != hi and any").select("token")
+    found = common.written(found.join(tokens, "token", "left_semi"), "prefixes")
+    x, y = (found.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("at", "least", "id", "component", "n"))) for side in "xy")
+    return (
+        x.join(y.where("least_y"), "token")
+        .where("component_x != component_y")
+        .where("n_y < n_x or (n_y = n_x and id_y < id_x)")
+        .where(F.col("n_y") * 100 >= F.col("n_x") * percent)
+        .where(F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")).cast("bigint") * percent)
+        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words_in_shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -210,16 +297,13 @@ def near_duplicates(
     label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
     labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
     members = common.written(_mixed(labelled), "members")
-    more = [common.written(_links(_pairs(members, _star(members, 2), percent), sets, percent), "links")]
-    for offsets, slots in REFINED:
-        other = F.array(*(F.get("keys", F.pmod(F.col("band") + o, F.lit(bands))) for o in offsets))
-        finer = members.join(classes.select("rep", "keys"), "rep").select("band", "rep", "n", "component", F.col("key").alias("outer"), F.explode(other).alias("inner"))
-        members = common.written(_mixed(finer.select(F.xxhash64("outer", "inner").alias("key"), "band", "rep", "n", "component")), "members")
-        more.append(common.written(_links(_pairs(members, _star(members, slots), percent), sets, percent), "links"))
-        common.release_shuffles(spark)
-    late = more[0]
-    for x in more[1:]:
-        late = late.union(x)
+    links = links.union(common.written(_links(_pairs(members, _star(members, 2), percent), sets, percent), "links"))
+    found = components(links)
+    label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
+    labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
+    rest = common.written(_mixed(labelled).select(F.col("rep").alias("id"), "component").distinct(), "rest")
+    common.release_shuffles(spark)
+    late = common.written(_links(_rest_pairs(sets.join(rest, "id"), percent), sets, percent), "links")
     if late.take(1):
         found = components(links.union(late))
     of_rep = found.select(F.col("node").alias("rep"), "component")

@@ -92,6 +92,22 @@ def test_chains_as_brute_force(spark, k):
     assert got(neardup.near_duplicates(df, k)) == brute_force(rows, k)
 
 
+def test_links_within_a_large_mixed_group(spark):
+    """A passage shared by all, 0.75 among each other; a few pairs at 0.81 that meet in no bucket of their own."""
+    rng = np.random.default_rng(5)
+    template, rows = [f"t{i}" for i in range(87)], []
+    for i in range(700):
+        fill = [f"f{i}x{j}" for j in range(14)]
+        rows.append((len(rows), " ".join(template + fill)))
+        if i % 20 == 0:
+            rows.append((len(rows), " ".join(template + fill[:5] + [f"g{i}x{j}" for j in range(9)])))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = brute_force(rows, 1)
+    assert sum(not kept for *_, kept in want) == 35
+    assert got(neardup.near_duplicates(df, 1, rows=1, bands=4)) == want
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i % 1700}y{i % 13}" for i in range(60_000))
     rows = [(1, None, 5), (2, "", 5), (3, " \t\n", 5), (4, long, 5), (5, long + " more", 5), (4, long, 5), (6, "a b c d e f g h i j", None), (None, "a b c d e f g h i j", 1), (7, "a b c d e f g h i j", 1), (8, "É b", 2), (9, "é b", 2)]
