@@ -7,12 +7,16 @@ import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweb.config import CrawlConfig
 
+#: Rounds whose tables are read one by one before they are written as one.
+WIDTH = 16
+
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
@@ -26,15 +30,15 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig, rounds: int = 50) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig, rounds: int | None = None) -> DataFrame:
     """(url, round): what a crawl from ``seeds`` (url) over the link graph ``edges`` (src, dst) visits, and when.
 
     A round visits what the last one found, less what has been visited. It stops when nothing is new, when more than
-    ``max_urls`` have been visited, or when the settings say so.
+    ``max_urls`` have been visited, or when the settings say so. ``rounds``: only so many rounds are wanted.
     """
     front = _written(seeds.select("url").distinct().withColumn("round", F.lit(0)), "front")
     seen, n = front, front.count()
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         if config.runtime_stop or (config.max_urls is not None and config.max_urls < n):
             break
         found = edges.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
@@ -44,6 +48,8 @@ def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig, rounds: int =
             break
         n += fresh
         seen = seen.unionByName(front)
+        if k % WIDTH == 0:
+            seen = _written(seen, "seen")
     return seen
 
 
@@ -59,5 +65,5 @@ class Crawl:
 
         self.config = replace(self.config, runtime_stop=True)
 
-    def run(self, edges: DataFrame, seeds: DataFrame, rounds: int = 50) -> DataFrame:
+    def run(self, edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
         return crawl(edges, seeds, self.config, rounds)

@@ -146,3 +146,9 @@ def test_rounds_stop(spark):
     session = rounds.Crawl(spark, CrawlConfig())
     session.stop()
     assert session.run(edges, start).count() == 1
+
+
+def test_crawl_goes_on_until_nothing_is_new(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(53)], "src string, dst string").coalesce(1)
+    start = spark.createDataFrame([("0",)], "url string")
+    assert rounds.Crawl(spark, CrawlConfig(max_urls=None)).run(edges, start).count() == 54
