@@ -195,10 +195,10 @@ def unigrams(prepared: DataFrame, parts: int, share: int = 8) -> Unigrams:
         got = [_unpack(x) for x in rows.column("packed").to_pylist()]
         keys, counts = _summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(_I64) for g in got]))
         values, times = np.unique(counts, return_counts=True)
-        top = np.argsort(-counts, kind="stable")[: 16 * share]
-        return pa.table({"counts": pa.array([values], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64())), "top": pa.array([common.signed(keys[top])], pa.list_(pa.int64())), "top_counts": pa.array([counts[top]], pa.list_(pa.int64()))})
+        top = np.flatnonzero(counts * share * parts > counts.sum())  # more than those with a share of all tokens
+        return pa.table({"counts": pa.array([values], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64())), "top": pa.array([common.signed(keys[top])], pa.list_(pa.int64())), "top_counts": pa.array([counts[top]], pa.list_(pa.int64())), "texts": pa.array([counts[keys == END].sum()], pa.int64())})
 
-    found = prepared.mapInArrow(run, "part int, packed binary").groupBy("part").applyInArrow(reduce, "counts array<bigint>, times array<bigint>, top array<bigint>, top_counts array<bigint>")
+    found = prepared.mapInArrow(run, "part int, packed binary").groupBy("part").applyInArrow(reduce, "counts array<bigint>, times array<bigint>, top array<bigint>, top_counts array<bigint>, texts bigint")
     # what a partition sends is small: distinct counts grow as the root of its tokens, and its words above the share are few
     rows = found.collect()
     if not rows:
@@ -209,7 +209,7 @@ def unigrams(prepared: DataFrame, parts: int, share: int = 8) -> Unigrams:
     n[values[small]] = times[small]
     tokens, distinct = int((values * times).sum()), int(times.sum())
     top, counts = np.concatenate([r.top for r in rows]).astype(_I64).view(_U64), np.concatenate([r.top_counts for r in rows]).astype(_I64)
-    texts = int(counts[top == END].sum())
+    texts = sum(r.texts for r in rows)
     often = counts * share * parts > tokens
     order = np.argsort(top[often])
     made = Unigrams(tokens, distinct, n, texts, top[often][order], counts[often][order])

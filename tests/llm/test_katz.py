@@ -119,3 +119,10 @@ def test_packing_of_arrays():
     arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.empty(0, dtype=np.uint8), np.array([1.5, -2.5]), np.array([7], dtype=np.uint16)]
     for a, b in zip(arrays, katz._unpack(katz._pack(*arrays))):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_texts_counted_below_many_frequent_words(spark):
+    rows = [(i, " ".join(f"w{j} w{j}" for j in range(300))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    train = sum(not held_out(i) for i in range(5))
+    assert katz.unigrams(katz._prepared(docs, 7, 2), 1).texts == train
