@@ -125,20 +125,22 @@ def _prepared(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
 # ---------------------------------------------------------------- discounts
 
 class Discounts:
-    """d(c) from counts of counts n[1..]; see the module."""
+    """d(c) from counts of counts: n[1..], or n[i] for the count of[i], ascending; see the module."""
 
-    def __init__(self, n: np.ndarray, k: int = TURING):
+    def __init__(self, n: np.ndarray, k: int = TURING, of: np.ndarray | None = None):
         n = np.asarray(n, dtype=_F64)
-        seen = np.flatnonzero(n[1:]) + 1 if len(n) > 1 else np.empty(0, dtype=_I64)
+        of = np.arange(len(n)) if of is None else np.asarray(of, dtype=_I64)
+        seen, n = of[(of > 0) & (n > 0)], n[(of > 0) & (n > 0)]
         slope = -1.5
         if len(seen) >= 2:
             gap = np.diff(np.concatenate(([0], seen, [2 * seen[-1] - seen[-2]])))
-            z = n[seen] / (0.5 * (gap[:-1] + gap[1:]))
+            z = n / (0.5 * (gap[:-1] + gap[1:]))
             slope = float(np.polyfit(np.log(seen), np.log(z), 1)[0])
         self.power = min(-0.1, max(-3.0, slope + 1))  # d(c) = (1 + 1/c)^power < 1
         self.few = np.array([0.0] + [(1 + 1 / r) ** self.power for r in range(1, k + 1)])
+        few = dict(zip(seen[: k + 1].tolist(), n[: k + 1].tolist()))
         for r in range(1, k + 1):
-            if len(n) > r + 1 and n[r] and 0 < (d := (r + 1) * n[r + 1] / (r * n[r])) < 1:
+            if r in few and 0 < (d := (r + 1) * few.get(r + 1, 0) / (r * few[r])) < 1:
                 self.few[r] = d
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
@@ -149,10 +151,10 @@ class Discounts:
 class Unigrams:
     """What the model's lowest order needs to know of the whole corpus."""
 
-    def __init__(self, tokens: int, distinct: int, of_counts: np.ndarray, texts: int, spread: np.ndarray, spread_counts: np.ndarray, left: float = 1.0):
+    def __init__(self, tokens: int, distinct: int, of_counts: tuple[np.ndarray, np.ndarray], texts: int, spread: np.ndarray, spread_counts: np.ndarray, left: float = 1.0):
         self.tokens, self.distinct, self.texts, self.of_counts = tokens, distinct, texts, of_counts
         self.spread, self.spread_counts = spread, spread_counts  # frequent words, sorted by hash
-        self.discounts = Discounts(of_counts)
+        self.discounts = Discounts(of_counts[1], of=of_counts[0])
         self.left = left
 
     def seen(self, c: np.ndarray) -> np.ndarray:
@@ -165,9 +167,6 @@ class Unigrams:
         return np.log10((c + 1.0) / (self.tokens + self.distinct + 1.0))
 
 
-_COUNTED = 1 << 12  # counts of counts are kept up to here
-
-
 def unigrams(prepared: DataFrame, parts: int, share: int = 8) -> Unigrams:
     """N, V, counts of counts, the mass left over, and the words with more than 1/(share parts) of all tokens: at most share * parts of them."""
 
@@ -202,17 +201,14 @@ def unigrams(prepared: DataFrame, parts: int, share: int = 8) -> Unigrams:
     # what a partition sends is small: distinct counts grow as the root of its tokens, and its words above the share are few
     rows = found.collect()
     if not rows:
-        return Unigrams(0, 0, np.zeros(1), 0, np.empty(0, dtype=_U64), np.empty(0, dtype=_I64))
+        return Unigrams(0, 0, (np.empty(0, dtype=_I64), np.empty(0)), 0, np.empty(0, dtype=_U64), np.empty(0, dtype=_I64))
     values, times = _summed(np.concatenate([r.counts for r in rows]).astype(_I64), np.concatenate([r.times for r in rows]).astype(_I64))
-    n = np.zeros(int(values.max()) + 2) if values.max() < _COUNTED else np.zeros(_COUNTED)
-    small = values < len(n)
-    n[values[small]] = times[small]
     tokens, distinct = int((values * times).sum()), int(times.sum())
     top, counts = np.concatenate([r.top for r in rows]).astype(_I64).view(_U64), np.concatenate([r.top_counts for r in rows]).astype(_I64)
     texts = sum(r.texts for r in rows)
     often = counts * share * parts > tokens
     order = np.argsort(top[often])
-    made = Unigrams(tokens, distinct, n, texts, top[often][order], counts[often][order])
+    made = Unigrams(tokens, distinct, (values, times), texts, top[often][order], counts[often][order])
     made.left = float(1 - (made.seen(values) * times).sum())
     return made
 
@@ -327,12 +323,11 @@ def _bigram_counts(chunks: DataFrame, known: Unigrams) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
         _, packed, _ = _split(rows)
         c = _Partition(packed, model.value).type_c
-        n = np.bincount(c[(c > 0) & (c < _COUNTED)], minlength=2)
-        at = np.flatnonzero(n)
-        return pa.table({"one": pa.array(np.zeros(len(at), dtype=np.int32)), "c": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
+        at, n = np.unique(c[c > 0], return_counts=True)
+        return pa.table({"one": pa.array(np.zeros(len(at), dtype=np.int32)), "c": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
 
     counts = chunks.groupBy("part").applyInArrow(count, "one int, c bigint, n bigint").groupBy("one", "c").agg(F.sum("n").alias("n"))
-    return counts.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("of_counts"))  # fewer than _COUNTED entries
+    return counts.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("of_counts"))  # distinct counts grow as the root of the tokens
 
 
 DOCS, SUMS, STATS, ASKED, OFTEN_STATS, OFTEN_ASKED = range(6)
@@ -347,10 +342,8 @@ def _scored(chunks: DataFrame, known: Unigrams, parts: int) -> DataFrame:
         own: Unigrams = model.value
         names, packed, lists = _split(rows)
         pairs = rows.column("of_counts")[0].values
-        n = np.zeros(_COUNTED)
-        if pairs is not None and len(pairs):
-            n[pairs.field("c").to_numpy()] = pairs.field("n").to_numpy()
-        discounts = Discounts(n)
+        some = pairs is not None and len(pairs)
+        discounts = Discounts(pairs.field("n").to_numpy(), of=pairs.field("c").to_numpy()) if some else Discounts(np.zeros(1))
         x = _Partition(packed, own)
         del packed
         seen = x.type_c > 0

@@ -93,6 +93,14 @@ def test_scores_as_defined(spark, monkeypatch):
     compared(katz.score_documents(docs).collect(), rows)
 
 
+def test_counts_beyond_4096_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(Model, "counts", staticmethod(lambda counter: np.bincount([*counter.values()])))
+    rows = corpus(3, 60) + [(601, "w0 " * 5000), (602, "w1 w2 " * 3000)]
+    assert not held_out(601) and not held_out(602)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    compared(katz.score_documents(docs).collect(), rows)
+
+
 def test_small_chunks_and_spread_words(spark, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK", 100)
     rows = corpus(2, 80)
