@@ -293,6 +293,10 @@ def near_duplicates(
     # a few bands first: large groups become components, and their other buckets need no pairs at all
     few = members.where(F.col("band") < FIRST)
     links = common.written(_links(_pairs(few, _star(few, 1), percent), sets, percent), "links")
+    # an id with several texts ties their classes together
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("lo"), F.max(F.struct("set_a", "set_b")).alias("hi")).where("lo != hi").select("doc_id")
+    own = signed.where("n_shingles > 0").join(several, "doc_id", "left_semi").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
+    links = links.union(common.written(own.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "same"))
     found = components(links)
     label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
     labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
@@ -308,17 +312,20 @@ def near_duplicates(
         found = components(links.union(late))
     of_rep = found.select(F.col("node").alias("rep"), "component")
     of_class = classes.select("set_a", "set_b", "rep").join(of_rep, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    # rows that share a doc_id are one document, so its least component counts for all of them
-    own = signed.where("doc_id is not null").join(of_class, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
-    done = own.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    full = signed.where("doc_id is not null and n_shingles > 0").join(of_class, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component")
+    # an empty text goes with its id's other texts
+    empty = signed.where("doc_id is not null and n_shingles = 0").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "component")
+    done = full.union(empty).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     none = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("component_id"))
     return done.union(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with its columns, without the documents that aren't their component's first. Rows without id stay."""
+    """``docs`` with its columns, without the documents that aren't their component's first, and one row of each (doc_id, text). Rows without id stay."""
     gone = near_duplicates(docs, words_in_shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

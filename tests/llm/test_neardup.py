@@ -116,6 +116,14 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(df.where("false"), 2).count() == 0
 
 
+def test_repeated_ids(spark):
+    rows = [(9, "a b c d e"), (9, "p q r s t"), (9, ""), (3, "P q r s t"), (5, "a b c d e"), (7, "u v w"), (7, "u v w"), (None, "u v w"), (None, "u v w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(neardup.near_duplicates(df, 2)) == brute_force(rows, 2)
+    left = [(r.doc_id, r.text) for r in neardup.without_near_duplicates(df, 2).collect()]
+    assert sorted(left, key=str) == sorted([(3, "P q r s t"), (7, "u v w"), (None, "u v w"), (None, "u v w")], key=str)
+
+
 def test_query_as_brute_force(spark):
     where = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in common.table(spark, where, "documents").collect()]
