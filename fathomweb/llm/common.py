@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local mode) a temporary one is set.
+    Only where the session has none and all runs in one process (tests) a temporary one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fathomweb-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -49,14 +52,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there.
 
-    The files outlive any executor, and go when the driver's Python ends. ``by``: a column of few values that gets folders.
+    The files outlive any executor, and go when the driver's Python ends, or earlier by ``discard``. ``by``: a column of few values that gets folders.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/fathomweb-{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` made and nothing reads any longer."""
+    for made in tables:
+        _delete(made.sparkSession, made._written_to)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -1,8 +1,9 @@
 """Connected components of a graph whose edges are a DataFrame.
 
 Alternating large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and
-Beyond, 2014). Every step is an aggregation with map-side combination and an equi-join that Spark can
-split where a hub is hot; each pair of steps is written, so lineage stays short. No edge reaches the driver.
+Beyond, 2014), until each component is a star around its least node. Every step is an aggregation with
+map-side combination, whose result is written, and an equi-join of two written tables: with no
+aggregation beside it, adaptive execution can split that join where a hub is hot. No edge reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,23 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    made = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
+    discard(edges, least)
+    return made
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
+    made = written(moved.union(least).distinct(), "edges")
+    discard(edges, least)
+    return made
 
 
-def _state(edges: DataFrame) -> tuple:
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _stars(edges: DataFrame) -> bool:
+    """Whether each greater end has one edge and is no other edge's lesser end. Edges are distinct, with u > v."""
+    several = edges.groupBy("u").count().where("count > 1").select("u")
+    between = edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi")
+    return several.union(between).isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,13 +45,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = _state(now)
-    for _ in range(rounds if state[0] else 0):
-        now = written(_small_star(_large_star(now)), "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    else:
-        if state[0]:
-            raise RuntimeError(f"components did not converge within {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    for _ in range(rounds):
+        if _stars(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        now = _small_star(_large_star(now))
+    raise RuntimeError(f"components did not converge within {rounds} rounds")

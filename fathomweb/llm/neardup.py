@@ -4,10 +4,10 @@
    bins; a bin's value is its least hash; an empty bin takes the value of a full one that a hash of
    the bin and the attempt points to (Shrivastava, Optimal Densification, 2017). Rows of bins make bands.
 2. Documents with equal sets are one class, found by aggregation; only classes go on.
-3. Classes that share a band's value form a bucket. A bucket's edges are a star: one centre, drawn by
-   a hash, against the others. Their number is at most classes times bands, whatever the sizes of buckets.
-4. Every star edge is confirmed on the full sets; links are merged to components. The first bands are done before
-   the others, of which only buckets that hold several components are left.
+3. Classes that share a band's value form a bucket. A bucket's edges are a star: one centre, the member that meets
+   the most others in all its buckets, against the rest. Their number is at most classes times bands, whatever the
+   sizes of buckets; as buckets of one group share a centre, it is far less.
+4. Every star edge is confirmed on the full sets; links are merged to components.
 5. The classes of buckets that then still hold several components are the rest. It is compared exactly, by
    prefixes of the full sets (Xiao et al., Efficient Similarity Joins for Near Duplicate Detection, 2008): sets are
    ordered by how common a shingle is, rare ones first, and two sets that are linked share one of the first few. What
@@ -39,8 +39,6 @@ from . import common
 from .components import components
 
 ROWS, BANDS = 5, 32
-#: Bands whose stars come first.
-FIRST = 4
 #: How common shingles are is counted in so many cells of hashes, sent in so many slices.
 CELLS, SLICES = 1 << 20, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,33 +144,30 @@ def _sets(docs: DataFrame, words_in_shingle: int) -> DataFrame:
     return _ids(docs).mapInArrow(lambda rows: common.batches(rows, work), f"id {kind}, shingles array<bigint>")
 
 
-def _star(members: DataFrame, slots: int) -> DataFrame:
-    """(key, centre, centre_n, centre_component): in each bucket and slot the member that a hash puts first."""
-    turn = F.xxhash64("rep", "key", F.lit(slots))
-    return (
-        members.groupBy("key", F.pmod(turn, F.lit(slots)).alias("slot"))
-        .agg(F.min(F.struct(turn.alias("turn"), "rep", "n", "component")).alias("first"))
-        .select("key", F.col("first.rep").alias("centre"), F.col("first.n").alias("centre_n"), F.col("first.component").alias("centre_component"))
-    )
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with the buckets' sizes. A hot bucket is summed before it meets, and a join with a written table can be split."""
+    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("peers")).where("lo != hi").select("key", "peers")
+    return members.join(common.written(keys, "keys"), "key")
 
 
-def _pairs(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of centres and members of other components whose sizes allow a link: members times slots at most."""
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of each bucket's centre and its other members, as far as their sizes allow a link: at most one per row of ``members``.
+
+    A bucket's centre is the member that meets the most others in all its buckets, which is near the middle of its group;
+    buckets with much the same members have the same centre and bring the same pairs.
+    """
+    met = common.written(members.groupBy("rep").agg(F.sum("peers").alias("met")), "met")
+    turn = F.struct(-F.col("met"), F.xxhash64("rep"), "rep", "n")
+    centres = members.join(met, "rep").groupBy("key").agg(F.min(turn).alias("first")).select("key", F.col("first.rep").alias("centre"), F.col("first.n").alias("centre_n"))
     return (
-        members.join(centres, "key")
-        .where(F.col("component") != F.col("centre_component"))
+        members.join(common.written(centres, "centres"), "key")
+        .where("rep != centre")
         .where(F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent)
         .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         .distinct()
     )
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    return members.join(keys, "key")
-
-
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that the full sets confirm."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -257,7 +252,8 @@ def _rest_pairs(sets: DataFrame, percent: int) -> DataFrame:
     found = common.written(_prefixes(sets, percent), "prefixes")
     # a token of one component alone brings no pairs
     tokens = found.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("least").alias("any")).where("lo != hi and any").select("token")
-    found = common.written(found.join(tokens, "token", "left_semi"), "prefixes")
+    every, found = found, common.written(found.join(common.written(tokens, "tokens"), "token", "left_semi"), "prefixes")
+    common.discard(every)
     x, y = (found.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("at", "least", "id", "component", "n"))) for side in "xy")
     return (
         x.join(y.where("least_y"), "token")
@@ -290,24 +286,19 @@ def near_duplicates(
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = common.written(_sets(_ids(docs).join(wanted, "doc_id", "left_semi"), words_in_shingle), "sets")
     common.release_shuffles(spark)
-    # a few bands first: large groups become components, and their other buckets need no pairs at all
-    few = members.where(F.col("band") < FIRST)
-    links = common.written(_links(_pairs(few, _star(few, 1), percent), sets, percent), "links")
+    links = common.written(_links(_star_pairs(members, percent), sets, percent), "links")
     # an id with several texts ties their classes together
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("lo"), F.max(F.struct("set_a", "set_b")).alias("hi")).where("lo != hi").select("doc_id")
     own = signed.where("n_shingles > 0").join(several, "doc_id", "left_semi").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
     links = links.union(common.written(own.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "same"))
     found = components(links)
     label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-    labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
-    members = common.written(_mixed(labelled), "members")
-    links = links.union(common.written(_links(_pairs(members, _star(members, 2), percent), sets, percent), "links"))
-    found = components(links)
-    label = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-    labelled = members.drop("component").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
+    labelled = members.drop("component", "peers").join(label, "rep", "left").withColumn("component", F.coalesce("own", "rep")).drop("own")
     rest = common.written(_mixed(labelled).select(F.col("rep").alias("id"), "component").distinct(), "rest")
+    common.discard(members)
     common.release_shuffles(spark)
     late = common.written(_links(_rest_pairs(sets.join(rest, "id"), percent), sets, percent), "links")
+    common.discard(sets, rest)
     if late.take(1):
         found = components(links.union(late))
     of_rep = found.select(F.col("node").alias("rep"), "component")
