@@ -142,6 +142,27 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has columns of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their names, whatever characters those hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: Arrow functions don't take all the names that tables do."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def remainder(doc_id: str | Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

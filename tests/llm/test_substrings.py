@@ -67,3 +67,22 @@ def test_query_and_empty_table(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in common.table(spark, where, "documents").collect()]
     assert got(substrings.op10_substring_dedup(spark, where)) == brute_force(rows)
     assert substrings.removed_digests(common.table(spark, where, "documents").where("false")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_clashing_names(spark, hot):
+    rows = fixture(3, 12)
+    names = ["a", "b", "ranges", "_own", "_id", "_hash", "_kept", "start", "end", "copies", "cold", "hot", "packed", "a.b", "n_chars"]
+    df = spark.createDataFrame([(*r, *(f"{i}-{n}" for n in names[:-1]), len(r[1] or "")) for i, r in enumerate(rows)], ["doc_id", "text", *names])
+    out = substrings.without_repeats(df, hot=hot)
+    assert out.schema == df.schema
+    got = {r["_own"]: r for r in out.collect()}
+    want = {(d, h): n for d, _, n, h in brute_force(rows)}
+    assert len(got) == len(rows)
+    for i, (d, t) in enumerate(rows):
+        r = got[f"{i}-_own"]
+        assert all(r[n] == f"{i}-{n}" for n in names[:-1]) and r.doc_id == d
+        if r.text == t:
+            assert r.n_chars == len(t or "")
+        else:
+            assert want[(-1 if d is None else d, hashlib.sha256(r.text.encode()).hexdigest())] and r.n_chars == len(r.text)
