@@ -16,6 +16,8 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,38 +32,77 @@ KINDS = ("assign", "access", "hex", "reuse")
 COPIED = 5
 PLACEHOLDER = r"example|sample|dummy|changeme|your|xxxx|12345"
 
+#: Characters cut out of a text at once, see _cleaned.
+_CHUNK = 4096
+#: Values folded at once, see _before.
+_BLOCK = 64
+
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column], body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function from i to ``op`` (a sum, a maximum) over 0 and the first i of ``values``: whole blocks of them, and the few after the last whole block."""
+    fold = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: op(a, x.cast("bigint")))
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), block(F.size(values))), lambda j: fold(F.slice(values, j * _BLOCK + 1, F.lit(_BLOCK))))
+    earlier = lambda found: F.transform(F.sequence(F.lit(0), F.size(found)), lambda j: fold(F.slice(found, F.lit(1), j)))
+    at = lambda whole: lambda i: op(F.get(whole, block(i)), fold(F.slice(values, block(i) * _BLOCK + 1, F.pmod(i, F.lit(_BLOCK)))))
+    return _let(blocks, lambda found: _let(earlier(found), lambda whole: body(at(whole))))
+
+
 def _spans(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
-    """All leftmost matches that do not overlap, whose ``group`` has at least ``least`` characters."""
+    """All leftmost matches that do not overlap, whose ``group`` has at least ``least`` characters. Time is in proportion to the text."""
     p = F.lit(pattern)
-    found, values = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    add = lambda a, x: a + x
-    start = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), add)
-    all_of = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.length(F.get(values, i)) >= least),
-        lambda i: F.struct(
-            start(i).cast("bigint").alias("start"),
-            F.lit(rank).alias("rank"),
-            (start(i) + (F.get(sizes, i) if rank < 3 else F.length(F.rtrim(F.get(values, i), F.lit("."))))).cast("bigint").alias("end"),
-            F.rtrim(F.get(values, i), F.lit(".")).alias("value"),
-        ),
+    pieces = F.struct(
+        F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.regexp_extract_all(text, p, F.lit(group)).alias("values"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps")
     )
-    return F.when(text.rlike(pattern), all_of).otherwise(F.array()).cast(_SPAN)
+
+    def listed(m: Column) -> Column:
+        steps = F.zip_with(m["gaps"], m["found"], lambda gap, x: gap + F.coalesce(F.length(x), F.lit(0)))
+
+        def one(before: Callable[[Column], Column]) -> Column:
+            start = lambda i: before(i) + F.get(m["gaps"], i)
+            return F.transform(
+                F.filter(F.sequence(F.lit(0), F.size(m["found"]) - 1), lambda i: F.length(F.get(m["values"], i)) >= least),
+                lambda i: _let(start(i), lambda at: F.struct(
+                    at.alias("start"),
+                    F.lit(rank).alias("rank"),
+                    (at + (F.length(F.get(m["found"], i)) if rank < 3 else F.length(F.rtrim(F.get(m["values"], i), F.lit("."))))).alias("end"),
+                    F.rtrim(F.get(m["values"], i), F.lit(".")).alias("value"),
+                )),
+            )
+
+        return _let(steps, lambda s: _before(s, lambda a, x: a + x, one))
+
+    return F.when(text.rlike(pattern), _let(pieces, listed)).otherwise(F.array()).cast(_SPAN)
+
+
+def _clear(spans: Column, base: Column) -> Column:
+    """The ``spans`` that no span of ``base`` touches. ``base`` is sorted; of its blocks only those that reach a span are looked into."""
+    width = F.ceil(F.sqrt(F.size(base))).cast("int")
+    meets = lambda t: lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])
+
+    def block(part: Column) -> Column:
+        return F.struct(F.get(part, F.lit(0))["start"].alias("start"), F.array_max(F.transform(part, lambda x: x["end"])).alias("end"), part.alias("part"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(base) - 1) / width).cast("int")), lambda j: _let(F.slice(base, j * width + 1, width), block))
+    some = _let(blocks, lambda all_of: F.filter(spans, lambda t: ~F.exists(all_of, lambda x: meets(t)(x) & F.exists(x["part"], meets(t)))))
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(some)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, repository, owner, row_hash, base, bare): each text's base spans, by start and kind, and its bare tokens."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, 8), _spans(text, ACCESS, 1, 0, 16), _spans(text, HEX, 2, 0, 32)))
-    clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     seen = docs.select("doc_id", *(c for c in ("source", "lang") if c in docs.columns), F.xxhash64(text).alias("row_hash"), base.alias("base"), _spans(text, BARE, 3, 0, 16).alias("bare"))
     owner = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     repository = F.concat_ws("/", owner, F.col("lang")) if "lang" in docs.columns else owner
-    return seen.select("doc_id", F.when(owner.isNotNull(), repository).alias("repository"), owner.alias("owner"), "row_hash", "base", F.filter("bare", clear).alias("bare"))
+    return seen.select("doc_id", F.when(owner.isNotNull(), repository).alias("repository"), owner.alias("owner"), "row_hash", "base", _clear(F.col("bare"), F.col("base")).alias("bare"))
 
 
 def ownership(scanned: DataFrame, copied: int = COPIED) -> DataFrame:
@@ -87,7 +128,7 @@ def find_secrets(docs: DataFrame, copied: int = COPIED) -> DataFrame:
     some = (F.size("base") > 0) | (F.size("bare") > 0)
     hits = scanned.where(some).select("doc_id", "row_hash", F.explode(F.concat("base", "bare")).alias("s")).distinct()
     judged = (
-        hits.withColumn("value_hash", F.sha2("s.value", 256)).join(ownership(scanned, copied), "value_hash").where((F.col("s.rank") < 3) | F.col("named"))
+        hits.withColumn("value_hash", F.sha2("s.value", 256)).join(common.written(ownership(scanned, copied), "owners"), "value_hash").where((F.col("s.rank") < 3) | F.col("named"))
         .groupBy("doc_id", "row_hash")
         .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.value", "class"))).alias("spans"))
         .select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "spans")
@@ -102,27 +143,39 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cleaned(text: Column, spans: Column) -> Column:
+    """``text`` with a mark for each span, in one go: from the end of all earlier spans to each span, its mark, and so on. A span that begins within an earlier one has no mark."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _CHUNK).cast("int")), lambda j: text.substr(j * _CHUNK + 1, F.lit(_CHUNK)))
+    chunk = lambda i: F.floor(i / _CHUNK).cast("int")
+    ends = F.transform(spans, lambda s: s["end"])
+
+    def between(parts: Column, a: Column, b: Column) -> Column:
+        """The characters from a to b, out of the chunks that hold them."""
+        low = lambda c: F.greatest(a - c * _CHUNK, F.lit(0)).cast("int")
+        return F.array_join(F.transform(F.sequence(chunk(a), chunk(b)), lambda c: F.substring(F.get(parts, c), low(c) + 1, (F.least(b - c * _CHUNK, F.lit(_CHUNK)) - low(c)).cast("int"))), "")
+
+    def marked(parts: Column, before: Callable[[Column], Column]) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            mark = F.when(s["class"] == "copied", "[EXAMPLE]").otherwise("[SECRET]")
+            return _let(before(i), lambda at: F.when(s["start"] >= at, F.concat(between(parts, at, s["start"]), mark)).otherwise(""))
+
+        return F.concat(F.array_join(F.transform(spans, piece), ""), _let(before(F.size(spans)), lambda at: between(parts, at, F.length(text).cast("bigint"))))
+
+    return _let(chunks, lambda parts: _let(ends, lambda e: _before(e, F.greatest, lambda before: marked(parts, before))))
+
+
 def redacted(docs: DataFrame, copied: int = COPIED) -> DataFrame:
     """``docs`` with its columns; found spans are replaced by [SECRET], copied examples by [EXAMPLE]; n_chars follows."""
-    found = find_secrets(docs, copied).where(F.size("spans") > 0).dropDuplicates(["doc_id", "row_hash"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.col("text")
-
-    def step(state: Column, s: Column) -> Column:
-        put = F.when(s["class"] == "copied", "[EXAMPLE]").otherwise("[SECRET]")
-        more = F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), put)
-        return F.struct(F.when(s["start"] >= state["at"], more).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate(
-        "_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step,
-        lambda state: F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.length(text))),
-    )
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    key, own_id, own_hash, spans = common.fresh(docs, "row_hash", "own_id", "own_hash", "spans")
+    found = common.written(find_secrets(docs, copied).where(F.size("spans") > 0).dropDuplicates(["doc_id", "row_hash"]), "spans")
+    found = found.select(F.col("doc_id").alias(own_id), F.col("row_hash").alias(own_hash), F.col("spans").alias(spans))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, (F.col(key) == F.col(own_hash)) & F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
+    text, hit = F.col("text"), F.col(spans).isNotNull()
+    out = joined.withColumn("text", F.when(hit, _cleaned(text, F.col(spans))).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*common.quoted(docs.columns))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

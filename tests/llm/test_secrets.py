@@ -73,6 +73,31 @@ def test_redaction(spark):
     assert not any(base_of(r.text) for r in rows.values())
 
 
+def test_clashing_names(spark):
+    names = ["_own", "_id", "_hash", "_spans", "row_hash", "own_id", "own_hash", "spans", "value_hash", "base", "bare", "class", "owner", "a.b"]
+    df = spark.createDataFrame([(*r, *(f"{i}-{n}" for n in names)) for i, r in enumerate(ROWS)], ["doc_id", "text", "source", "lang", *names])
+    out = secrets.redacted(df)
+    plain = {i: r.text for i, r in enumerate(sorted(secrets.redacted(df.select("doc_id", "text", "source", "lang")).collect(), key=str))}
+    assert out.schema == df.schema
+    rows = out.collect()
+    assert len(rows) == len(ROWS) and {r["_own"] for r in rows} == {f"{i}-_own" for i in range(len(ROWS))}
+    assert all(r[n] == r["_own"].split("-")[0] + "-" + n for r in rows for n in names)
+    assert sorted(str(r.text) for r in rows) == sorted(map(str, plain.values()))
+
+
+def test_many_matches(spark):
+    """A text of 20,000 matches takes seconds: offsets don't start from the beginning for each match."""
+    import time
+
+    text = "é".join(f"token={i:08d}abc " for i in range(20_000))
+    df = spark.createDataFrame([(1, text, "s", "en")], "doc_id bigint, text string, source string, lang string")
+    began = time.time()
+    row = secrets.find_secrets(df).select("spans").collect()[0]
+    assert time.time() - began < 60
+    assert ",".join(f"assign:{s.start}:{s.end}" for s in row.spans) == base_of(text)
+    assert secrets.redacted(df).collect()[0].text == "é".join(["[SECRET] "] * 20_000)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
     assert secrets.find_secrets(df).count() == 0
