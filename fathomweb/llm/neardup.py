@@ -313,10 +313,12 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with its columns, without the documents that aren't their component's first, and one row of each (doc_id, text). Rows without id stay."""
-    gone = near_duplicates(docs, words_in_shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    found = near_duplicates(docs, words_in_shingle, percent).where("doc_id is not null")
+    own, kept, times = common.fresh(docs, "own", "kept", "times")
+    marks = found.groupBy("doc_id").agg(F.min("kept").alias(kept), F.count("*").alias(times)).where(~F.col(kept) | (F.col(times) > 1)).withColumnRenamed("doc_id", own)
+    joined = docs.join(common.written(marks, "marks"), F.col("doc_id") == F.col(own), "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    columns, again = common.quoted(docs.columns), F.coalesce(F.col(times), F.lit(1)) > 1
+    return joined.where(~again).select(*columns).union(joined.where(again).select(*columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
