@@ -143,6 +143,16 @@ class Discounts:
             if r in few and 0 < (d := (r + 1) * few.get(r + 1, 0) / (r * few[r])) < 1:
                 self.few[r] = d
 
+    def fit(self) -> list[float]:
+        """All there is to know, as a few numbers."""
+        return [self.power, *self.few.tolist()]
+
+    @classmethod
+    def of_fit(cls, fit: np.ndarray) -> Discounts:
+        made = cls.__new__(cls)
+        made.power, made.few = float(fit[0]), np.asarray(fit[1:], dtype=_F64)
+        return made
+
     def __call__(self, c: np.ndarray) -> np.ndarray:
         c = np.asarray(c)
         return np.where(c < len(self.few), self.few[np.minimum(c, len(self.few) - 1)], (1 + 1 / np.maximum(c, 1)) ** self.power)
@@ -316,34 +326,38 @@ def _split(rows: pa.Table) -> tuple[list[int], list[bytes], pa.Table]:
     return tokens.column("chunk").to_pylist(), tokens.column("packed").to_pylist(), rows.filter(lists)
 
 
-def _bigram_counts(chunks: DataFrame, known: Unigrams) -> DataFrame:
-    """One row (one = 0): counts of counts of all bigrams, as a list."""
+def _bigram_fit(chunks: DataFrame, known: Unigrams) -> DataFrame:
+    """One row: the discounts fitted to the counts of counts of all bigrams. Different counts grow as the root of the tokens; the fit is a few numbers."""
     model = chunks.sparkSession.sparkContext.broadcast(known)
 
     def count(rows: pa.Table) -> pa.Table:
         _, packed, _ = _split(rows)
         c = _Partition(packed, model.value).type_c
         at, n = np.unique(c[c > 0], return_counts=True)
-        return pa.table({"one": pa.array(np.zeros(len(at), dtype=np.int32)), "c": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+        return pa.table({"c": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs in batch.column(0):
+                made = Discounts(pairs.values.field("n").to_numpy(), of=pairs.values.field("c").to_numpy()) if len(pairs) else Discounts(np.zeros(1))
+                yield pa.RecordBatch.from_arrays([pa.array([made.fit()], pa.list_(pa.float64()))], names=["fit"])
 
-    counts = chunks.groupBy("part").applyInArrow(count, "one int, c bigint, n bigint").groupBy("one", "c").agg(F.sum("n").alias("n"))
-    return counts.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("of_counts"))  # distinct counts grow as the root of the tokens
+    counts = chunks.groupBy("part").applyInArrow(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
+    return counts.agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("of_counts")).mapInArrow(fit, "fit array<double>")
 
 
 DOCS, SUMS, STATS, ASKED, OFTEN_STATS, OFTEN_ASKED = range(6)
 
 
 def _scored(chunks: DataFrame, known: Unigrams, parts: int) -> DataFrame:
-    """(kind, part, chunk, packed, doc_ids): see the kinds' uses below. ``chunks`` has the counts of counts in each row."""
+    """(kind, part, chunk, packed, doc_ids): see the kinds' uses below. ``chunks`` has the discounts' fit in each row."""
     model = chunks.sparkSession.sparkContext.broadcast(known)
     kind = dict(chunks.dtypes)["doc_ids"]
 
     def score(rows: pa.Table) -> pa.Table:
         own: Unigrams = model.value
         names, packed, lists = _split(rows)
-        pairs = rows.column("of_counts")[0].values
-        some = pairs is not None and len(pairs)
-        discounts = Discounts(pairs.field("n").to_numpy(), of=pairs.field("c").to_numpy()) if some else Discounts(np.zeros(1))
+        discounts = Discounts.of_fit(rows.column("fit")[0].values.to_numpy())
         x = _Partition(packed, own)
         del packed
         seen = x.type_c > 0
@@ -459,9 +473,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     common.release_shuffles(spark)
     parts = max(6, -(-(known.tokens * folds) // ((folds - 1) * PARTITION)))
     chunks = _bigram_chunks(prepared, known, parts).repartition(parts, "part")
-    counts = _bigram_counts(chunks, known)
-    both = chunks.withColumn("one", F.pmod("part", F.lit(1))).join(F.broadcast(counts), "one", "left").drop("one")  # the same row for all
-    table = common.written(_scored(both, known, parts), "bigrams", by="kind")
+    fitted = chunks.withColumn("fit", _bigram_fit(chunks, known).scalar())  # a scalar subquery over the same shuffle
+    table = common.written(_scored(fitted, known, parts), "bigrams", by="kind")
     common.release_shuffles(spark)
     added = common.written(_backed_off(table), "backoff")
     kind, texts, tokens = dict(prepared.dtypes)["doc_id"], known.texts, known.tokens
