@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, slots: int =
     machine = Machine.new(len(STATISTICS) + slots, rank)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (common.remainder("doc_id", folds) != 0))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of ``sample`` rows at most
+    # an id may be on many rows: its least text stands for it, and the driver gets ``sample`` rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     got = _features_of(texts, slots).toArrow()
     y = got.column("quality").to_numpy().astype(np.float64)
     rows = [(i.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64)) for i, v in zip(got.column("index"), got.column("value"))]
@@ -191,11 +192,12 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
         own = Machine(w.astype(np.float64), v.astype(np.float64))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array([own.score(*features(x, _slots(slots))) >= threshold for x in common.texts_of(batch)], pa.bool_()))
+            return batch.filter(pa.array([own.score(*features(x, _slots(slots))) >= threshold for x in common.texts_of(batch, text)], pa.bool_()))
 
-        return common.batches(rows, work)
+        return common.batches(rows, work, text)
 
-    return docs.mapInArrow(run, docs.schema)
+    text = f"c{docs.columns.index('text')}"
+    return common.numbered(docs).mapInArrow(run, docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

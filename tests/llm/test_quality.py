@@ -43,3 +43,15 @@ def test_odd_rows(spark):
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 5
     assert quality.score(docs.where("false"), quality.train(docs.where("false"), labels)).count() == 0
+
+
+def test_bound_of_the_sample(spark, monkeypatch):
+    """The driver gets at most ``sample`` rows, however many rows share an id; columns may have any names."""
+    docs = spark.createDataFrame([(i if i < 300 else 7, f"word{i} text", "x", "y") for i in range(1500)], ["doc_id", "text", "quality", "a.b"])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    got, features_of = [], quality._features_of
+    monkeypatch.setattr(quality, "_features_of", lambda texts, slots: got.append(texts.count()) or features_of(texts, slots))
+    quality.train(docs, labels, sample=100)
+    assert got == [100]
+    kept = quality.accepted(docs, labels, threshold=0.0)
+    assert kept.schema == docs.schema and kept.count() == 1500
