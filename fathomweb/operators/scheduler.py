@@ -18,10 +18,8 @@ def heads(states: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def ready(states: DataFrame, entries: DataFrame, now: int) -> DataFrame:
-    """(place, ip, authority, ready_at): everything that one scheduling step may start, one per ip, earliest first."""
-    may = heads(states, entries).where(F.col("ready_at") <= now)
-    # range partitions are sorted before they are ranked: no single task sees all rows
-    return may.select("ip", "authority", "ready_at")
+    """(ip, authority, ready_at): everything that one scheduling step may start, one per ip, in no order."""
+    return heads(states, entries).where(F.col("ready_at") <= now).select("ip", "authority", "ready_at")
 
 
 def peek(states: DataFrame, entries: DataFrame, now: int) -> DataFrame:
@@ -71,10 +69,10 @@ def distributor_step(front: Column, required: Column, ready_urls: Column, now: C
 
 
 def refill(spool: DataFrame, limits: DataFrame) -> DataFrame:
-    """(authority, seq, path_query): from each authority's spool as many as its limit (authority, most) allows."""
+    """(authority, seq, path_query): from each authority's spool as many as its limit (authority, most) allows. Spools without a limit are dropped before anything is ranked."""
     w = Window.partitionBy("authority").orderBy("seq")
-    ranked = spool.withColumn("place", F.row_number().over(w))
-    return ranked.join(limits, "authority").where(F.col("place") <= F.col("most")).select("authority", "seq", "path_query")
+    ranked = spool.join(limits, "authority").withColumn("place", F.row_number().over(w))
+    return ranked.where(F.col("place") <= F.col("most")).select("authority", "seq", "path_query")
 
 
 def due(queue: DataFrame, now: int, at: str = "available_at") -> DataFrame:

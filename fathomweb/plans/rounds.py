@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,12 @@ WIDTH = 16
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in the folder that driver and executors share; without one, only a session in one process gets a temporary one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="fathomweb-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -30,16 +35,20 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig, rounds: int | None = None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig | Callable[[], CrawlConfig]) -> DataFrame:
     """(url, round): what a crawl from ``seeds`` (url) over the link graph ``edges`` (src, dst) visits, and when.
 
     A round visits what the last one found, less what has been visited. It stops when nothing is new, when more than
-    ``max_urls`` have been visited, or when the settings say so. ``rounds``: only so many rounds are wanted.
+    ``max_urls`` have been visited, or when the settings, which are asked for again before each round, say so.
     """
+    settings = config if callable(config) else lambda: config
+    # written once, dealt by source: a round reads it, and joins a front that is broadcast while it is small
+    edges = _written(edges.select("src", "dst").where("src is not null and dst is not null").distinct().repartition("src"), "edges")
     front = _written(seeds.select("url").distinct().withColumn("round", F.lit(0)), "front")
     seen, n = front, front.count()
-    for k in count(1) if rounds is None else range(1, rounds + 1):
-        if config.runtime_stop or (config.max_urls is not None and config.max_urls < n):
+    for k in count(1):
+        now = settings()
+        if now.runtime_stop or (now.max_urls is not None and now.max_urls < n):
             break
         found = edges.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         front = _written(found.join(seen.select("url"), "url", "left_anti").withColumn("round", F.lit(k)), "front")
@@ -55,15 +64,13 @@ def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig, rounds: int |
 
 @dataclass
 class Crawl:
-    """A crawl session: settings and tables; ``stop`` ends it before its next round."""
+    """A crawl session: settings and tables; ``stop``, from any thread, ends it before its next round."""
 
     spark: SparkSession
     config: CrawlConfig
 
     def stop(self) -> None:
-        from dataclasses import replace
-
         self.config = replace(self.config, runtime_stop=True)
 
-    def run(self, edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
-        return crawl(edges, seeds, self.config, rounds)
+    def run(self, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+        return crawl(edges, seeds, lambda: self.config)

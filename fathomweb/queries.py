@@ -65,10 +65,10 @@ FIXTURES = {
         ('http://a.test', 'User-agent: *\nDisallow: /private\nDisallow: /tmp/\nCrawl-delay: 7\n\nUser-agent: other\nDisallow: /all\nSitemap: http://a.test/map.xml'),
         ('http://b.test', 'Sitemap: http://b.test/1\r\nUser-agent: other\r\nUser-agent: *\r\nDisallow: /x\r\nDisallow:\r\n   \r\nDisallow: /not\r\nSitemap: http://b.test/0'),
         ('http://c.test', 'User-agent: other\nDisallow: /c\nCrawl-delay: 2.5'), ('http://d.test', ''), ('http://e.test', 'user-AGENT:*\ndisallow:/e\nUser-agent: zed\nDisallow: /f\ncrawl-delay: x')"""),
-    "states": ("authority, ip, next_fetch, paths", "('http://foo.bar', '127.0.0.1', 1300, 2), ('http://foo.bla', '127.0.0.2', 1200, 2), ('http://foo.toto', '127.0.0.3', 1400, 2), ('http://foo.cofefe', '127.0.0.2', 1500, 2)"),
-    "ready_urls": ("seq, url", "(1, 'https://clojure.org/about/rationale/'), (2, 'https://httpbin.org/get'), (3, 'https://java.com/'), (4, 'https://java.com/about/')"),
+    "states": ("authority, ip, next_fetch, paths", "('http://a.test', '127.0.0.1', 1300, 2), ('http://b.test', '127.0.0.2', 1200, 2), ('http://c.test', '127.0.0.3', 1400, 2), ('http://d.test', '127.0.0.2', 1500, 2)"),
+    "ready_urls": ("seq, url", "(1, 'https://full.test/a/b/'), (2, 'https://known.test/get'), (3, 'https://new.test/'), (4, 'https://new.test/about/')"),
     "flushes": ("flush, seq, key", "(1, 1, 'A0'), (1, 2, 'A1'), (1, 3, 'A0'), (1, 4, 'A2'), (2, 5, 'A5'), (2, 6, 'A0'), (2, 7, 'A6'), (2, 8, 'A1'), (2, 9, 'A6'), (2, 10, 'A7')"),
-    "done": ("authority, ip, paths, spooled, purge", "('https://finnvolkel.com', '1.2.3.4', 2, 0, false), ('https://clojure.org', '2.3.4.5', 0, 2, false), ('https://news.ycombinator.com', '3.4.5.6', 0, 0, false), ('https://gone.test', '4.5.6.7', 3, 1, true)"),
+    "done": ("authority, ip, paths, spooled, purge", "('https://first.test', '1.2.3.4', 2, 0, false), ('https://full.test', '2.3.4.5', 0, 2, false), ('https://empty.test', '3.4.5.6', 0, 0, false), ('https://gone.test', '4.5.6.7', 3, 1, true)"),
     "priorities": ("prio, data", "(1, 'foo'), (2, 'bar'), (3, 'bla')"),
     "fronts": ("id, front, required, ready_urls, last_flush", "(1, 10, 1000, 0, 998000), (2, 10, 1000, 0, 999500), (3, 10, 1000, 7, 0), (4, 2000, 1000, 7, 0), (5, 10, 1100, 0, 0)"),
 }
@@ -456,10 +456,10 @@ def authority_set(spark, sf_dir):
     return t.where("page_id % 3 != 0").select("authority").distinct().join(t.where("page_id % 3 = 0").select("authority").distinct(), "authority", "left_anti")
 
 
-@query(f"select seq, url, authority, case when authority = 'https://clojure.org' then 'drop' when authority = 'https://httpbin.org' then 'spool' else 'new' end as route from (select *, {_authority('url')} as authority from {rows_of('ready_urls')})")
+@query(f"select seq, url, authority, case when authority = 'https://full.test' then 'drop' when authority = 'https://known.test' then 'spool' else 'new' end as route from (select *, {_authority('url')} as authority from {rows_of('ready_urls')})")
 def route_ready_urls(spark, sf_dir):
-    counts = spark.createDataFrame([("https://clojure.org", 3)], "authority string, n bigint")
-    registered = spark.createDataFrame([("https://httpbin.org",)], "authority string")
+    counts = spark.createDataFrame([("https://full.test", 3)], "authority string, n bigint")
+    registered = spark.createDataFrame([("https://known.test",)], "authority string")
     return frontier.routed(fixture(spark, "ready_urls"), counts, registered, 3).select("seq", "url", "authority", "route")
 
 
@@ -793,8 +793,9 @@ def sorted_seeds(spark, sf_dir):
 _GRAPH = "(select p_partkey as src, p_partkey * 3 + 1 as dst from part union all select p_partkey, p_partkey // 2 from part)"
 
 
-@query(f"""with recursive r as (select 5::bigint as url, 0 as round union select e.dst, r.round + 1 from r join (select distinct * from {_GRAPH} where dst in (select p_partkey from part)) e on e.src = r.url where r.round < 25)
-    select 'http://n.test/' || url as url, min(round)::int as round from r group by r.url""")
+@query(f"""with recursive r(url, round) using key (url) as (select 5::bigint, 0::bigint union (select e.dst, min(r.round) + 1 from r join (select distinct * from {_GRAPH} where dst in (select p_partkey from part)) e on e.src = r.url
+        where e.dst not in (select url from recurring.r) group by e.dst))
+    select 'http://n.test/' || url as url, round::int as round from r""")
 def crawl_rounds(spark, sf_dir):
     """A crawl of a closed graph from one seed: each URL in the round that first reaches it."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
@@ -802,4 +803,4 @@ def crawl_rounds(spark, sf_dir):
     edges = both.join(p.select(F.col("k").alias("dst")), "dst", "left_semi")
     name = lambda c: F.concat(F.lit("http://n.test/"), F.col(c).cast("string"))
     start = spark.range(1).select(F.lit("http://n.test/5").alias("url"))
-    return rounds.crawl(edges.select(name("k").alias("src"), name("dst").alias("dst")), start, CrawlConfig(max_urls=None), 25)
+    return rounds.crawl(edges.select(name("k").alias("src"), name("dst").alias("dst")), start, CrawlConfig(max_urls=None))

@@ -61,7 +61,7 @@ def test_stream_retry_as_batch(spark, tmp_path):
 def test_workbench_order(spark):
     """One visit per ip: after the three heads nothing is ready until an ip is free again."""
     now = 1000
-    states = spark.createDataFrame([("foo.bar", "1", now + 300, 2), ("foo.bla", "2", now + 200, 2), ("foo.toto", "3", now + 400, 2), ("foo.cofefe", "2", now + 500, 2)], "authority string, ip string, next_fetch bigint, paths int")
+    states = spark.createDataFrame([("a.test", "1", now + 300, 2), ("b.test", "2", now + 200, 2), ("c.test", "3", now + 400, 2), ("d.test", "2", now + 500, 2)], "authority string, ip string, next_fetch bigint, paths int")
     entries = spark.createDataFrame([(i, 0, False) for i in "123"], "ip string, next_fetch bigint, busy boolean")
     assert scheduler.peek(states, entries, now).count() == 0
     picked = []
@@ -69,25 +69,25 @@ def test_workbench_order(spark):
         p = scheduler.peek(states, entries, now + at)
         picked.append(p.first().authority)
         entries = scheduler.popped(entries, p)
-    assert picked == ["foo.bla", "foo.bar", "foo.toto"]
+    assert picked == ["b.test", "a.test", "c.test"]
     assert scheduler.peek(states, entries, now + 10_000).count() == 0
-    again = spark.createDataFrame([("foo.bla", "2", now + 700, 2, True)], "authority string, ip string, next_fetch bigint, paths int, locked boolean")
+    again = spark.createDataFrame([("b.test", "2", now + 700, 2, True)], "authority string, ip string, next_fetch bigint, paths int, locked boolean")
     s2, e2 = scheduler.added(states, entries, again)
-    assert scheduler.peek(s2, e2, now + 500).first().authority == "foo.cofefe"
+    assert scheduler.peek(s2, e2, now + 500).first().authority == "d.test"
     s3, e3 = scheduler.purged(states, entries, again)
-    assert scheduler.peek(s3, e3, now + 500).first().authority == "foo.cofefe" and s3.count() == 3
+    assert scheduler.peek(s3, e3, now + 500).first().authority == "d.test" and s3.count() == 3
     s4, e4 = scheduler.purged(states.where("ip = '1'"), entries.where("ip = '1'"), states.where("ip = '1'"))
     assert s4.count() == 0 and e4.count() == 0
 
 
 def test_routing(spark):
-    ready = spark.createDataFrame([(1, "https://clojure.org/about/rationale/"), (2, "https://httpbin.org/get"), (3, "https://java.com/"), (4, "https://java.com/about/")], "seq int, url string")
-    counts = spark.createDataFrame([("https://clojure.org", 3)], "authority string, n bigint")
-    registered = spark.createDataFrame([("https://httpbin.org",)], "authority string")
+    ready = spark.createDataFrame([(1, "https://full.test/a/b/"), (2, "https://known.test/get"), (3, "https://new.test/"), (4, "https://new.test/about/")], "seq int, url string")
+    counts = spark.createDataFrame([("https://full.test", 3)], "authority string, n bigint")
+    registered = spark.createDataFrame([("https://known.test",)], "authority string")
     routed = frontier.routed(ready, counts, registered, 3)
     assert [r.route for r in routed.orderBy("seq").collect()] == ["drop", "spool", "new", "new"]
     state = frontier.visit_states(routed.where("route = 'new'")).collect()
-    assert [(r.authority, r.path_queries) for r in state] == [("https://java.com", ["/", "/about/"])]
+    assert [(r.authority, r.path_queries) for r in state] == [("https://new.test", ["/", "/about/"])]
 
 
 @pytest.mark.parametrize("exception, most, killer", [(n, m, k) for n, _, m, k in scalars.EXCEPTIONS] + [("Other", 5, False)])
