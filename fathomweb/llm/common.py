@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,12 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
 
 
 def slices(rows: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches that hold about ``chars`` bytes of text at most, one row at least."""
+    """Slices of Arrow batches that hold about ``chars`` bytes of text (or entries of lists) at most, one row at least."""
     for batch in rows:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < batch.num_rows:
@@ -115,7 +117,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for reuse; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 150_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
@@ -129,6 +131,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@lru_cache(1)
+def word_hashes() -> WordHashes:
+    """One for a Python worker, whichever operators it works for."""
+    return WordHashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

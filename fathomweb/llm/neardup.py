@@ -26,7 +26,6 @@ table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +44,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ATTEMPTS = 256
 
 
-@lru_cache(1)
-def _hashes() -> common.WordHashes:
-    return common.WordHashes()
-
-
 def shingle_sets(texts: list[bytes], words_in_shingle: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, sorted."""
-    hashes, out = _hashes(), []
+    hashes, out = common.word_hashes(), []
     for text in texts:
         words = text.lower().split()  # of bytes: A-Z, and ASCII white space
         if not words:
@@ -195,7 +189,7 @@ def _loads(sets: DataFrame) -> np.ndarray:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(CELLS, dtype=np.int64)
-        for batch in rows:
+        for batch in common.slices(rows, "shingles", 500_000):
             found += np.bincount(_cells(_flat(batch)[0]), minlength=CELLS)
         some = [(i, zstandard.compress(x.tobytes(), 1)) for i, x in enumerate(found.reshape(SLICES, -1)) if x.any()]
         if some:
@@ -221,7 +215,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     kinds = dict(sets.dtypes)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in common.slices(rows, "shingles", 500_000):
             flat, ends = _flat(batch)
             tokens, sizes = [], []
             for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):

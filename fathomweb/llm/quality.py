@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +37,7 @@ STATISTICS = (
 _PLAIN = frozenset(b".,;:!?")
 
 
-class Slots(dict):
-    """Slots of lower-cased words (bytes), kept for reuse up to a bound."""
-
-    def __init__(self, slots: int, most: int = 400_000):
-        super().__init__()
-        self.slots, self.most = slots, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = slot = zlib.crc32(word) % self.slots
-        return slot
-
-
-@lru_cache(2)
-def _slots(slots: int) -> Slots:
-    """One per Python worker."""
-    return Slots(slots)
-
-
-def features(text: str, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: the statistics come first, then the words' slots."""
     raw = text.encode()
     words = raw.split()
@@ -82,7 +61,7 @@ def features(text: str, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
     )
     table: dict[int, int] = {}
     for word, c in counts.items():
-        slot = slots[word.lower()]
+        slot = zlib.crc32(word.lower()) % slots
         table[slot] = table.get(slot, 0) + c
     value = np.log1p(np.fromiter(table.values(), dtype=np.float64, count=len(table)))
     value /= np.sqrt((value * value).sum())
@@ -133,7 +112,7 @@ def _features_of(docs: DataFrame, slots: int) -> DataFrame:
     """(quality, index, value) of labelled documents."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [features(x, _slots(slots)) for x in common.texts_of(batch)]
+        made = [features(x, slots) for x in common.texts_of(batch)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))],
             names=["quality", "index", "value"],
@@ -170,7 +149,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, slots
         own = Machine(w.astype(np.float64), v.astype(np.float64))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [own.score(*features(x, _slots(slots))) for x in common.texts_of(batch)]
+            scores = [own.score(*features(x, slots)) for x in common.texts_of(batch)]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
                 names=["doc_id", "row_hash", "score", "predicted"],
@@ -192,7 +171,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
         own = Machine(w.astype(np.float64), v.astype(np.float64))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array([own.score(*features(x, _slots(slots))) >= threshold for x in common.texts_of(batch, text)], pa.bool_()))
+            return batch.filter(pa.array([own.score(*features(x, slots)) >= threshold for x in common.texts_of(batch, text)], pa.bool_()))
 
         return common.batches(rows, work, text)
 

@@ -46,11 +46,6 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-@lru_cache(1)
-def _hashes() -> common.WordHashes:
-    return common.WordHashes()
-
-
 def mmers(h: np.ndarray, m: int) -> np.ndarray:
     """A hash for each run of m words."""
     n = len(h) - m + 1
@@ -118,7 +113,7 @@ def _profile(docs: DataFrame, window: int, m: int) -> DataFrame:
             words = text.encode().split()
             if len(words) < window:
                 continue
-            _, least, v = minimisers(_hashes().of(words), window, m)
+            _, least, v = minimisers(common.word_hashes().of(words), window, m)
             least = np.unique(least)
             v = np.sort(v)
             rows.append(row)
@@ -144,7 +139,7 @@ def _super_kmers(flagged: DataFrame, window: int, m: int) -> DataFrame:
         copies, cold_of, hot_of = (batch.column(i).to_pylist() for i in (3, 4, 5))
         for i, text in enumerate(common.texts_of(batch)):
             words = text.encode().split()
-            first, least, _ = minimisers(_hashes().of(words), window, m)
+            first, least, _ = minimisers(common.word_hashes().of(words), window, m)
             end = np.append(first[1:], len(words) - window + 1) + window - 1
             least = common.signed(least)
             is_hot = np.isin(least, hot_of[i]) if hot_of[i] else np.zeros(len(least), dtype=bool)
@@ -176,7 +171,7 @@ def _windows_of(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     """Of all windows of packed strings: two hashes, the string's number, the place in it, and how many windows the string has."""
     words = [p.split(b" ") for p in packed]
     sizes = np.array([len(w) for w in words])
-    left, right = window_hashes(_hashes().of([x for w in words for x in w]), window)
+    left, right = window_hashes(common.word_hashes().of([x for w in words for x in w]), window)
     n = sizes - window + 1
     row = np.repeat(np.arange(len(n)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
