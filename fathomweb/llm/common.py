@@ -20,8 +20,18 @@ from pyspark.sql import functions as F
 _MASK = (1 << 64) - 1
 
 
+#: Bytes of rows that Spark hands to Python at once, whatever the length of texts; several copies of them are in memory.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what each Arrow batch of this session holds. Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input table ``name``; any path that Spark's readers open will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +66,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     The files outlive any executor, and go when the driver's Python ends, or earlier by ``discard``. ``by``: a column of few values that gets folders.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{_shared_folder(spark)}/fathomweb-{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
