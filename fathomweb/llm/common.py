@@ -8,7 +8,6 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,10 +141,21 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@lru_cache(1)
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps from batch to batch and task to task under ``name``. It keeps one thing: another name lets go of the earlier."""
+    if name not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[name] = make() if make else None
+    return _held[name]
+
+
 def word_hashes() -> WordHashes:
     """One for a Python worker, whichever operators it works for."""
-    return WordHashes()
+    return held("word hashes", WordHashes)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,6 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,14 +102,9 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 # ---------------------------------------------------------------- tokens
 
-@lru_cache(1)
-def _hashes() -> common.WordHashes:
-    return common.WordHashes()
-
-
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, end marks included, and each text's number of tokens."""
-    table, parts, sizes = _hashes(), [], []
+    table, parts, sizes = common.word_hashes(), [], []
     for text in texts:
         words = text.encode().lower().split()
         parts += [table.of(words), np.array([END])]

@@ -16,7 +16,6 @@ import os
 import string
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -128,9 +127,8 @@ class WordIds(dict):
         return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-@lru_cache(1)
 def word_ids(path: str = TOKENIZER) -> WordIds:
-    return WordIds(path)
+    return common.held(f"words of {path}", lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:

@@ -145,6 +145,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, slots
     model = docs.sparkSession.sparkContext.broadcast((machine.w.astype(np.float32), machine.v.astype(np.float32)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("machine")  # lets go of what other operators left
         w, v = model.value
         own = Machine(w.astype(np.float64), v.astype(np.float64))
 
@@ -167,6 +168,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     model = docs.sparkSession.sparkContext.broadcast((machine.w.astype(np.float32), machine.v.astype(np.float32)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("machine")  # lets go of what other operators left
         w, v = model.value
         own = Machine(w.astype(np.float64), v.astype(np.float64))
 

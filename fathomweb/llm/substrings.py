@@ -73,7 +73,7 @@ def minimisers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarr
     return first, least[first], v
 
 
-@lru_cache(16)
+@lru_cache(4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(base, -1, 1 << 64))
     up, down = np.full(n, np.uint64(base)), np.full(n, inverse)
@@ -214,7 +214,7 @@ def _count_buckets(kmers: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.column(5).nbytes
-            if size < 4_000_000:
+            if size < 1_000_000:
                 continue
             block = pa.Table.from_batches(held)
             buckets = block.column("bucket").to_numpy()
