@@ -40,6 +40,8 @@ from .components import components
 ROWS, BANDS = 5, 32
 #: How common shingles are is counted in so many cells of hashes, sent in so many slices.
 CELLS, SLICES = 1 << 20, 16
+#: Bits of the filter that picks the documents whose sets are wanted.
+BITS = 1 << 25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ATTEMPTS = 256
 
@@ -127,15 +129,42 @@ def signatures(docs: DataFrame, words_in_shingle: int, rows: int = ROWS, bands:
     return _ids(docs).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, words_in_shingle: int) -> DataFrame:
-    """(id, shingles): the hashes of each document's set."""
+def _marked(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash of ``ids`` (doc_id) modulo BITS: a filter of fixed size, which lets others through too."""
+
+    def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, dtype=bool)
+        for batch in rows:
+            bits[batch.column(0).to_numpy() % BITS] = True
+        some = [(i, zstandard.compress(np.packbits(x).tobytes(), 1)) for i, x in enumerate(bits.reshape(SLICES, -1)) if x.any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["slice", "packed"])
+
+    def either(rows: pa.Table) -> pa.Table:
+        found = np.bitwise_or.reduce([np.frombuffer(zstandard.decompress(x), dtype=np.uint8) for x in rows.column("packed").to_pylist()])
+        return pa.table({"slice": rows.column("slice")[:1], "packed": pa.array([zstandard.compress(found.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros((SLICES, BITS // SLICES // 8), dtype=np.uint8)
+    hashes = ids.select(F.xxhash64("doc_id").alias("h"))
+    for r in hashes.mapInArrow(mark, "slice int, packed binary").groupBy("slice").applyInArrow(either, "slice int, packed binary").collect():  # SLICES rows
+        out[r.slice] = np.frombuffer(zstandard.decompress(bytes(r.packed)), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words_in_shingle: int) -> DataFrame:
+    """(id, shingles): the hashes of the sets of ``wanted`` (doc_id). Of the texts no more than their sets is shuffled, and of most others nothing."""
     kind = dict(docs.dtypes)["doc_id"]
+    wanted = common.written(wanted, "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column(2).to_numpy() % BITS
+        batch = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
         sets = shingle_sets([x.encode() for x in common.texts_of(batch)], words_in_shingle)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([common.signed(s) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return _ids(docs).mapInArrow(lambda rows: common.batches(rows, work), f"id {kind}, shingles array<bigint>")
+    made = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(lambda rows: common.batches(rows, work), f"id {kind}, shingles array<bigint>")
+    return made.join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -278,7 +307,7 @@ def near_duplicates(
     buckets = classes.select(F.posexplode("keys").alias("band", "key"), "rep", "n", F.col("rep").alias("component"))
     members = common.written(_mixed(buckets), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.written(_sets(_ids(docs).join(wanted, "doc_id", "left_semi"), words_in_shingle), "sets")
+    sets = common.written(_sets(docs, wanted, words_in_shingle), "sets")
     common.release_shuffles(spark)
     links = common.written(_links(_star_pairs(members, percent), sets, percent), "links")
     # an id with several texts ties their classes together
