@@ -205,7 +205,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.98, occupancy: int = OC
     sizes = one.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = one.join(sizes, "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("row", "bucket", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"), "side", "filter")
-    dealt = dealt.join(table.select("row", "x").join(filters, "row"), "row")  # the vectors themselves travel once
+    dealt = dealt.join(table.select("row", "x").join(filters, "row"), "row")  # a vector and its filters travel once for each filter and pair of blocks
     tasks = dealt.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
     found = common.written(_bucket_links(tasks, cosine), "found")
     counts = found.where("n is not null").groupBy("row").agg(F.sum("n").alias("n_links"))
