@@ -49,3 +49,28 @@ def test_each_stage_as_brute_force(spark, tmp_path):
     whole = corpus_pipeline.run(spark, where)
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, whole.collect())) == sorted(map(key, before))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_through_all_stages(spark, tmp_path, empty):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, and columns whose names the operators use themselves."""
+    where = "/root/testdata/sf0.001"
+    good = common.table(spark, where, "documents").join(common.table(spark, where, "labels").where("quality = 1"), "doc_id").limit(3).collect()
+    names = ["a", "b", "ranges", "spans", "row_hash", "own", "kept", "component_id", "a.b"]
+    texts = [r.text for r in good] + [good[0].text, None, "", " \n", " ".join(f"w{i}" for i in range(60_000)), "token = abcdefgh12345678 " + good[1].text]
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", len(t) if t else None, *([f"{i}"] * len(names))) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, *rows[1][1:]), (None, None, None, None, None, *([None] * len(names)))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([] if empty else rows, schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        n = docs.count()
+        stage(spark, docs, where).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != "packing":
+            assert [f[:2] for f in out.dtypes] == [f[:2] for f in docs.dtypes]
+            assert all(len(set(r[5:])) == 1 for r in out.collect())
+            if name in ("substring_dedup", "secrets"):
+                assert out.count() == n
+        else:
+            assert (out.count() == 0) == empty
+        docs = out
