@@ -97,3 +97,13 @@ def limited_cookies(cookies: DataFrame, most: int) -> DataFrame:
     size = sum((F.length(F.coalesce(c, F.lit(""))) for c in ("value", "domain", "path")), F.length(F.coalesce("name", F.lit(""))))
     w = Window.partitionBy("owner").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return cookies.withColumn("total", F.sum(size).over(w)).where(F.col("total") < most)
+
+
+def membership(added: DataFrame, removed: DataFrame, key: str = "authority") -> DataFrame:
+    """A set of keys: those added, less those removed."""
+    return added.select(key).distinct().join(removed.select(key).distinct(), key, "left_anti")
+
+
+def total(counts: DataFrame) -> DataFrame:
+    """(crawled): stored responses of all authorities, from their counts (authority, n)."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("crawled"))

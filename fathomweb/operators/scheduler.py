@@ -78,3 +78,50 @@ def refill(spool: DataFrame, limits: DataFrame) -> DataFrame:
 def due(queue: DataFrame, now: int, at: str = "available_at") -> DataFrame:
     """Items of a delay queue whose time has come."""
     return queue.where(F.col(at) <= now)
+
+
+def enqueued(paths: Column, path: Column) -> Column:
+    """A visit state's path-queries with one more at the end."""
+    return F.array_append(paths, path)
+
+
+def first_path(paths: Column) -> Column:
+    """The path-query that is next; null if there is none."""
+    return F.get(paths, F.lit(0))
+
+
+def dequeued(paths: Column) -> Column:
+    """The path-queries without the next one."""
+    return F.slice(paths, F.lit(2), F.greatest(F.size(paths), F.lit(1)))
+
+
+def is_time(next_fetch: Column, now: int) -> Column:
+    """Whether a visit state may be fetched by its own delay."""
+    return next_fetch <= now
+
+
+def fullness(states: DataFrame, most: int) -> DataFrame:
+    """(path_queries, is_full): how many path-queries (column ``paths``) all states hold, and whether that is above the workbench's size."""
+    return states.agg(F.coalesce(F.sum("paths"), F.lit(0)).alias("path_queries")).withColumn("is_full", F.col("path_queries") > most)
+
+
+def required_front(entries: DataFrame, required: int, step: int = 100) -> DataFrame:
+    """(idle, required): each idle fetcher raises the required front by ``step``."""
+    return entries.agg(F.count_if(~F.col("busy")).alias("idle")).withColumn("required", required + step * F.col("idle"))
+
+
+def gauges(entries: DataFrame, spool: DataFrame, key: str = "authority") -> DataFrame:
+    """(ips, busy, queued, authorities): one row of sizes of the workbench and the spool."""
+    queued = spool.agg(F.count("*").alias("queued"), F.count_distinct(key).alias("authorities"))
+    both = entries.agg(F.count("*").alias("ips"), F.count_if("busy").alias("busy")).unionByName(queued, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in ("ips", "busy", "queued", "authorities")))
+
+
+def ready_batch(ready: DataFrame, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows by ``order``: each task keeps that many, and they are merged."""
+    return ready.orderBy(order).limit(most)
+
+
+def in_range(items: DataFrame, below: int | None = None, at_least: int | None = None, key: str = "prio") -> DataFrame:
+    """The items of a priority queue whose priority is below one bound and at least another. Order them by ``key`` to take them in turn."""
+    return items.where((F.col(key) < below if below is not None else F.lit(True)) & (F.col(key) >= at_least if at_least is not None else F.lit(True)))

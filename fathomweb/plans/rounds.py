@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweb.config import CrawlConfig
@@ -20,9 +20,8 @@ from fathomweb.config import CrawlConfig
 WIDTH = 16
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` in the folder that driver and executors share; without one, only a session in one process gets a temporary one."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; without one, only a session in one process gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -30,9 +29,20 @@ def _written(df: DataFrame, name: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="fathomweb-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/fathomweb-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/fathomweb-{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reached(crawled: int | Column, max_urls: int | None) -> bool | Column:
+    """Whether a crawl has got beyond its limit; without one, never. Rows for a column, a truth value for a number."""
+    if max_urls is None:
+        return F.lit(False) if isinstance(crawled, Column) else False
+    return crawled > max_urls
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig | Callable[[], CrawlConfig]) -> DataFrame:
@@ -48,7 +58,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, config: CrawlConfig | Callable[[],
     seen, n = front, front.count()
     for k in count(1):
         now = settings()
-        if now.runtime_stop or (now.max_urls is not None and now.max_urls < n):
+        if now.runtime_stop or reached(n, now.max_urls):
             break
         found = edges.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         front = _written(found.join(seen.select("url"), "url", "left_anti").withColumn("round", F.lit(k)), "front")

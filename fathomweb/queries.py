@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomweb.config import CrawlConfig
@@ -69,7 +69,6 @@ FIXTURES = {
     "ready_urls": ("seq, url", "(1, 'https://full.test/a/b/'), (2, 'https://known.test/get'), (3, 'https://new.test/'), (4, 'https://new.test/about/')"),
     "flushes": ("flush, seq, key", "(1, 1, 'A0'), (1, 2, 'A1'), (1, 3, 'A0'), (1, 4, 'A2'), (2, 5, 'A5'), (2, 6, 'A0'), (2, 7, 'A6'), (2, 8, 'A1'), (2, 9, 'A6'), (2, 10, 'A7')"),
     "done": ("authority, ip, paths, spooled, purge", "('https://first.test', '1.2.3.4', 2, 0, false), ('https://full.test', '2.3.4.5', 0, 2, false), ('https://empty.test', '3.4.5.6', 0, 0, false), ('https://gone.test', '4.5.6.7', 3, 1, true)"),
-    "priorities": ("prio, data", "(1, 'foo'), (2, 'bar'), (3, 'bla')"),
     "fronts": ("id, front, required, ready_urls, last_flush", "(1, 10, 1000, 0, 998000), (2, 10, 1000, 0, 999500), (3, 10, 1000, 7, 0), (4, 2000, 1000, 7, 0), (5, 10, 1100, 0, 0)"),
 }
 
@@ -382,7 +381,7 @@ def authority_counts(spark, sf_dir):
 
 @query("select count(*) as crawled from pages")
 def total_crawled(spark, sf_dir):
-    return read(spark, sf_dir, "pages").agg(F.count("*").alias("crawled"))
+    return frontier.total(frontier.authority_counts(read(spark, sf_dir, "pages")))
 
 
 @query(f"select page_id, pos, url from {_WITHIN}")
@@ -453,7 +452,7 @@ def seed_union(spark, sf_dir):
 def authority_set(spark, sf_dir):
     """Authorities added, less those removed."""
     t = read(spark, sf_dir, "pages").withColumn("authority", urls.authority(F.col("url")))
-    return t.where("page_id % 3 != 0").select("authority").distinct().join(t.where("page_id % 3 = 0").select("authority").distinct(), "authority", "left_anti")
+    return frontier.membership(t.where("page_id % 3 != 0"), t.where("page_id % 3 = 0"))
 
 
 @query(f"select seq, url, authority, case when authority = 'https://full.test' then 'drop' when authority = 'https://known.test' then 'spool' else 'new' end as route from (select *, {_authority('url')} as authority from {rows_of('ready_urls')})")
@@ -488,8 +487,8 @@ def count_lookup(spark, sf_dir):
 @query(f"select page_id, {_authority('url')} in (select {_authority('url')} from pages where page_id % 2 = 0) as registered from pages")
 def authority_split(spark, sf_dir):
     t = read(spark, sf_dir, "pages").select("page_id", urls.authority(F.col("url")).alias("authority"))
-    known = t.where("page_id % 2 = 0").select("authority").distinct().withColumn("known", F.lit(True))
-    return t.join(known, "authority", "left").select("page_id", F.coalesce("known", F.lit(False)).alias("registered"))
+    split = frontier.split_by_membership(t.select("authority").distinct(), t.where("page_id % 2 = 0"))
+    return t.join(split, "authority", "left").select("page_id", F.coalesce("registered", F.lit(False)).alias("registered"))
 
 
 # ---------------------------------------------------------------- scheduling. Visit states: users of events; entries: 97 ips
@@ -593,21 +592,18 @@ def distributor_routing(spark, sf_dir):
 
 @query(f"select sum(paths)::bigint as path_queries, sum(paths) > 5000 as is_full from {_STATES}")
 def workbench_full(spark, sf_dir):
-    return _states(spark, sf_dir).agg(F.sum("paths").alias("path_queries")).withColumn("is_full", F.col("path_queries") > 5000)
+    return scheduler.fullness(_states(spark, sf_dir), 5000)
 
 
 @query("select count(*) filter (not busy) as idle, 1000 + 100 * count(*) filter (not busy) as required from " + _ENTRIES)
 def adaptive_front(spark, sf_dir):
     """Each idle fetcher raises the required front by 100."""
-    return _entries(spark, sf_dir).agg(F.count_if(~F.col("busy")).alias("idle")).withColumn("required", 1000 + 100 * F.col("idle"))
+    return scheduler.required_front(_entries(spark, sf_dir), CrawlConfig().required_front_size)
 
 
 @query("select count(*) as ips, count(*) filter (busy) as busy, (select count(*) from events) as queued, (select count(distinct user_id) from events) as authorities from " + _ENTRIES)
 def queue_gauges(spark, sf_dir):
-    t = read(spark, sf_dir, "events").agg(F.count("*").alias("queued"), F.count_distinct("user_id").alias("authorities"))
-    own = _entries(spark, sf_dir).agg(F.count("*").alias("ips"), F.count_if("busy").alias("busy"))
-    both = own.unionByName(t, allowMissingColumns=True)
-    return both.agg(*(F.max(c).alias(c) for c in ("ips", "busy", "queued", "authorities")))
+    return scheduler.gauges(_entries(spark, sf_dir), read(spark, sf_dir, "events"), "user_id")
 
 
 @query("select conv_id, count(*) as n, count(distinct role) as roles from conversations group by conv_id")
@@ -641,18 +637,21 @@ def delay_ready(spark, sf_dir):
 @query("select o_orderkey from orders order by o_orderkey limit 100")
 def ready_batch(spark, sf_dir):
     """The hundred ready URLs of one round."""
-    return read(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").limit(100)
+    return scheduler.ready_batch(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
 
 
-@query(f"select prio, data, prio < 2 as below, row_number() over (order by prio)::int as place from {rows_of('priorities')}")
+@query("select o_orderkey % 7 as prio, o_orderkey, part from (select o_orderkey, case when o_orderkey % 7 < 2 then 'below' when o_orderkey % 7 >= 5 then 'from' else 'between' end as part from orders)")
 def priority_range(spark, sf_dir):
-    t = fixture(spark, "priorities")
-    return t.select("prio", "data", (F.col("prio") < 2).alias("below"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("prio")).alias("place"))
+    """All orders as a priority queue, by three ranges of priorities that don't meet."""
+    t = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("prio"), "o_orderkey")
+    parts = {"below": scheduler.in_range(t, below=2), "between": scheduler.in_range(t, below=5, at_least=2), "from": scheduler.in_range(t, at_least=5)}
+    made = [x.withColumn("part", F.lit(name)) for name, x in parts.items()]
+    return made[0].union(made[1]).union(made[2])
 
 
 @query("select count(*) as crawled, 100 < count(*) as stop from pages")
 def stop_condition(spark, sf_dir):
-    return read(spark, sf_dir, "pages").agg(F.count("*").alias("crawled")).withColumn("stop", F.lit(100) < F.col("crawled"))
+    return frontier.total(frontier.authority_counts(read(spark, sf_dir, "pages"))).withColumn("stop", rounds.reached(F.col("crawled"), 100))
 
 
 @query("select conv_id, turn, total::bigint as total from (select conv_id, turn, sum(length(role) + length(text)) over (partition by conv_id order by turn rows unbounded preceding) as total from conversations) where total < 2048")
@@ -662,11 +661,15 @@ def cookie_prefix(spark, sf_dir):
     return frontier.limited_cookies(t, CrawlConfig().cookies_max_byte_size).select(F.col("owner").alias("conv_id"), F.col("pos").alias("turn"), "total")
 
 
-@query("select authority, ip, next_fetch, 3::int as size, '/a' as first_path, '/b|/c' as rest, next_fetch <= 1300 as fetchable from " + rows_of("states"))
+@query(f"select authority, ip, next_fetch, 3::int as size, '/' || paths as first_path, '/b|/c' as rest, next_fetch <= 50000 as fetchable from {_STATES}")
 def visit_state_ops(spark, sf_dir):
-    """Enqueue, first, dequeue, size and the test whether it is time."""
-    paths = F.array_append(F.array(F.lit("/a"), F.lit("/b")), F.lit("/c"))
-    return fixture(spark, "states").select("authority", "ip", "next_fetch", F.size(paths).alias("size"), F.element_at(paths, 1).alias("first_path"), F.array_join(F.slice(paths, 2, 100), "|").alias("rest"), (F.col("next_fetch") <= 1300).alias("fetchable"))
+    """Enqueue, first, dequeue, size and the test whether it is time, for every visit state."""
+    start = F.array(F.concat(F.lit("/"), F.col("paths").cast("string")), F.lit("/b"))
+    t = _states(spark, sf_dir).withColumn("queue", scheduler.enqueued(start, F.lit("/c")))
+    return t.select(
+        "authority", "ip", "next_fetch", F.size("queue").alias("size"), scheduler.first_path(F.col("queue")).alias("first_path"),
+        F.array_join(scheduler.dequeued(F.col("queue")), "|").alias("rest"), scheduler.is_time(F.col("next_fetch"), 50_000).alias("fetchable"),
+    )
 
 
 # ---------------------------------------------------------------- DNS and fetching
@@ -788,6 +791,33 @@ def sorted_seeds(spark, sf_dir):
     return all_urls(spark, sf_dir).where("url != ''").select(urls.normalize(F.col("url")).alias("url")).distinct().orderBy("url")
 
 
+@query("select url, 200 as status, octet_length(encode(html))::int as size, 'text/html' as kind from pages")
+def stored_responses(spark, sf_dir):
+    """Responses written to a new store, more of them to the same, and all read back."""
+    t = read(spark, sf_dir, "pages").select("page_id", "url", F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"), F.lit(200).alias("status"), F.col("html").alias("body"))
+    path = rounds.scratch(spark, "store")
+    for k in range(2):
+        store.write_responses(t.where(F.col("page_id") % 2 == k).drop("page_id"), path, is_new=k == 0)
+    return store.read_responses(spark, path).select("url", "status", F.octet_length("body").alias("size"), F.col("headers")["Content-Type"].alias("kind"))
+
+
+@query(f"select {_normalize('trim(url)')} as url from {ALL_URLS} where trim(url) <> ''")
+def stored_seeds(spark, sf_dir):
+    """Seeds written as lines and read back in normal form."""
+    path = rounds.scratch(spark, "seeds")
+    seeds.write_seeds(all_urls(spark, sf_dir), path)
+    return seeds.read_seeds(spark, path)
+
+
+@query("select event_id, event_type, value from events")
+def stored_records(spark, sf_dir):
+    """Records appended in two parts as JSON lines and read back under a schema."""
+    t, path = read(spark, sf_dir, "events").select("event_id", "event_type", "value"), rounds.scratch(spark, "records")
+    for k in range(2):
+        seeds.append_records(t.where(F.col("event_id") % 2 == k), path)
+    return seeds.read_records(spark, path, "event_id bigint, event_type string, value double")
+
+
 # ---------------------------------------------------------------- whole crawls
 
 _GRAPH = "(select p_partkey as src, p_partkey * 3 + 1 as dst from part union all select p_partkey, p_partkey // 2 from part)"
