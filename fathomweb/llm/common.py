@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -112,11 +113,12 @@ def slices(rows: Iterable[pa.RecordBatch], text: str = "text", chars: int = 4_00
 def batches(
     rows: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", chars: int = 4_000_000
 ) -> Iterator[pa.RecordBatch]:
-    """Calls ``work`` on each of the slices."""
+    """Calls ``work`` on each of the slices. A Python worker that waits for its next task then holds no free memory."""
     for part in slices(rows, text, chars):
         made = work(part)
         if made is not None and made.num_rows:
             yield made
+    release_memory()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -141,6 +143,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def release_memory() -> None:
+    """Gives what is free in this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _held: dict[str, object] = {}
 
 
@@ -148,7 +158,7 @@ def held(name: str, make: Callable[[], object] | None = None) -> object:
     """What a Python worker keeps from batch to batch and task to task under ``name``. It keeps one thing: another name lets go of the earlier."""
     if name not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        release_memory()
         _held[name] = make() if make else None
     return _held[name]
 
