@@ -43,6 +43,18 @@ def test_odd_rows(spark, shard):
     assert mtree.top_k(df.where("false")).count() == 0
 
 
+def test_small_batches_split_shards_and_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(900)] + [(2000 + i, [3.0] * 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in mtree.top_k(df, every=50, shard=150, page=16).select("query_id", "rank", "vec_id", "score").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_force(rows, every=50)
+
+
 def test_query_as_sql(spark):
     con = duckdb.connect()
     con.execute("create view embeddings as select * from '/root/testdata/sf0.001/embeddings.parquet'")
