@@ -7,10 +7,13 @@ are found block by block, without trying every direction: a partial sum goes on
 the blocks left can still lift it above the threshold. The threshold is set from the number of rows, so that a
 cap holds a fixed number of unrelated vectors; a vector that exceeds few filters takes its best ones.
 
-Vectors of one label that share a filter meet in a bucket. Large buckets are cut into blocks, and
+Equal vectors of a label are one class, counted before anything is compared: its members are linked with
+each other, and with all members of a class that theirs is linked with, so copies cost nothing but their rows.
+
+Classes of one label that share a filter meet in a bucket. Large buckets are cut into blocks, and
 every pair of blocks is a task of its own, so no group is collected whole. In a block, cosines are
 computed as one matrix product in double precision, and a pair counts in the first filter that
-both of its vectors have. A bucket gives the number of links of each vector and a spanning forest of its
+both of its vectors have. A bucket gives the number of links of each class and a spanning forest of its
 links, never its pairs; the forests are merged to components.
 
 Defined results: vectors that are null, empty or zero, or hold a null or a component that isn't finite,
@@ -114,9 +117,9 @@ def _listed(table: DataFrame, plans: dict[int, tuple[int, float]], least: int) -
 
 
 def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
-    """(row, other, n): n links of a row found in a bucket (other null), or a link (n null) of the bucket's spanning forest."""
+    """(row, other, n): n links of a row found in a bucket (other null), counted by the ``weight`` of what it links with, or a link (n null) of the bucket's spanning forest."""
 
-    def one(x: np.ndarray, rows: np.ndarray, filters: list[np.ndarray], here: int, side: np.ndarray, blocks: tuple[int, int]) -> list[tuple]:
+    def one(x: np.ndarray, rows: np.ndarray, weight: np.ndarray, filters: list[np.ndarray], here: int, side: np.ndarray, blocks: tuple[int, int]) -> list[tuple]:
         left = np.flatnonzero(side == blocks[0])
         right = np.flatnonzero(side == blocks[1])
         linked = x[left] @ x[right].T >= cosine
@@ -137,7 +140,9 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
             new = (has @ has.T)[pl, pr] == 0
         else:
             new = np.einsum("ij,ij->i", has[pl], has[pr]) == 0
-        counts = np.bincount(pl[new], minlength=len(used)) + np.bincount(pr[new], minlength=len(used))
+        counts = np.zeros(len(used), dtype=np.int64)
+        np.add.at(counts, pl[new], weight[right[b]][new])
+        np.add.at(counts, pr[new], weight[left[a]][new])
         out = [(int(rows[used[i]]), None, int(counts[i])) for i in np.flatnonzero(counts).tolist()]
         # a spanning forest: each vector points to the least it is linked to, until nothing changes
         root = np.arange(len(used))
@@ -161,7 +166,7 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cuts = [0, *change.tolist(), table.num_rows]
             out: list[tuple] = []
-            rows, side, here = table.column("row").to_numpy(), table.column("side").to_numpy(), table.column("filter").to_numpy()
+            rows, weight, side, here = table.column("row").to_numpy(), table.column("weight").to_numpy(), table.column("side").to_numpy(), table.column("filter").to_numpy()
             xs, fs = table.column("x").combine_chunks(), table.column("filters").combine_chunks()
             flat, start = xs.flatten().to_numpy(), xs.offsets.to_numpy() - xs.offsets.to_numpy()[0]
             names, name_start = fs.flatten().to_numpy(), fs.offsets.to_numpy() - fs.offsets.to_numpy()[0]
@@ -170,7 +175,7 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
                     continue
                 x = _unit(flat[start[a] : start[b]].reshape(b - a, -1))
                 filters = [names[name_start[i] : name_start[i + 1]] for i in range(a, b)]
-                out += one(x, rows[a:b], filters, int(here[a]), side[a:b], (int(keys[1][a]), int(keys[2][a])))
+                out += one(x, rows[a:b], weight[a:b], filters, int(here[a]), side[a:b], (int(keys[1][a]), int(keys[2][a])))
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["row", "other", "n"])
 
         for batch in batches:
@@ -186,13 +191,15 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield worked(held)
 
-    return members.select("bucket", "first", "second", "side", "filter", "row", "x", "filters").mapInArrow(run, "row bigint, other bigint, n bigint")
+    return members.select("bucket", "first", "second", "side", "filter", "row", "weight", "x", "filters").mapInArrow(run, "row bigint, other bigint, n bigint")
 
 
 def linked_vectors(vectors: DataFrame, cosine: float = 0.98, occupancy: int = OCCUPANCY, listed: int = LISTED, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    table = common.written(_usable(vectors).distinct().withColumn("row", F.monotonically_increasing_id()), "vectors")
+    usable = common.written(_usable(vectors).distinct(), "vectors")
+    classes = usable.groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    table = common.written(classes.withColumn("row", F.monotonically_increasing_id()), "classes")
     # by dimension: code words so that a label's caps hold ``occupancy`` rows, and the threshold that this share of directions exceeds
     plans = {}
     for r in table.groupBy(F.size("x").alias("size"), "label").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n")).collect():
@@ -205,17 +212,21 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.98, occupancy: int = OC
     sizes = one.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = one.join(sizes, "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("row", "bucket", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"), "side", "filter")
-    dealt = dealt.join(table.select("row", "x").join(filters, "row"), "row")  # a vector and its filters travel once for each filter and pair of blocks
+    dealt = dealt.join(table.select("row", "weight", "x").join(filters, "row"), "row")  # a class's vector and filters travel once for each filter and pair of blocks
     tasks = dealt.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
     found = common.written(_bucket_links(tasks, cosine), "found")
     counts = found.where("n is not null").groupBy("row").agg(F.sum("n").alias("n_links"))
-    ids = table.select("row", "vec_id")
-    edges = (
-        found.where("other is not null").select("row", "other").distinct().join(ids, "row").select("other", F.col("vec_id").alias("u"))
-        .join(ids.withColumnRenamed("row", "other"), "other").select("u", F.col("vec_id").alias("v"))
+    # two written tables, so adaptive execution can split the join where a class has many members
+    members = common.written(usable.join(table, ["label", "x"]).select("vec_id", "row", "least", "weight"), "members")
+    least = table.select("row", "least")
+    between = (
+        found.where("other is not null").select("row", "other").distinct().join(least, "row").select("other", F.col("least").alias("u"))
+        .join(least.withColumnRenamed("row", "other"), "other").select("u", F.col("least").alias("v"))
     )
-    of = components(edges).select(F.col("node").alias("vec_id"), "component")
-    links = ids.join(counts, "row").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+    within = members.where("vec_id != least").select(F.col("vec_id").alias("u"), F.col("least").alias("v"))
+    of = components(between.union(within)).select(F.col("node").alias("vec_id"), "component")
+    own_links = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1
+    links = members.join(common.written(counts, "counts"), "row", "left").groupBy("vec_id").agg(F.sum(own_links).alias("n_links"))
     kind = dict(vectors.dtypes)["vec_id"]
     out = vectors.select("vec_id").join(links, "vec_id", "left").join(of, "vec_id", "left")
     component = F.coalesce("component", "vec_id").cast(kind)

@@ -63,6 +63,18 @@ def test_odd_rows_and_large_groups(spark, block):
     assert caps.linked_vectors(df.where("false")).count() == 0
 
 
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    near = [(base + rng.normal(size=16) * 0.02).astype(np.float32).tolist() for _ in range(4)]
+    rows = [(i * 7 % 401, near[min(3, i % 9)], 1) for i in range(300)] + [(900 + i, near[0], 2) for i in range(5)] + [(950, near[1], None), (951, near[1], None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    assert got(caps.linked_vectors(df, block=16)) == brute_force(rows)
+    one = [(1, near[0], 1), (1, near[1], 1), (2, near[0], 1), (3, near[0], 1)]  # an id with two vectors: its links add up
+    out = {r.vec_id: (r.n_links, r.component_id) for r in caps.linked_vectors(spark.createDataFrame(one, df.schema)).collect()}
+    assert out == {1: (6, 1), 2: (3, 1), 3: (3, 1)}
+
+
 def test_query_as_sql(spark):
     where = "/root/testdata/sf0.1"
     con = duckdb.connect()
