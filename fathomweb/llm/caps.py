@@ -119,7 +119,7 @@ def _listed(table: DataFrame, plans: dict[int, tuple[int, float]], least: int) -
 def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
     """(row, other, n): n links of a row found in a bucket (other null), counted by the ``weight`` of what it links with, or a link (n null) of the bucket's spanning forest."""
 
-    def one(x: np.ndarray, rows: np.ndarray, weight: np.ndarray, filters: list[np.ndarray], here: int, side: np.ndarray, blocks: tuple[int, int]) -> list[tuple]:
+    def one(x: np.ndarray, rows: np.ndarray, weight: np.ndarray, filters: list[np.ndarray], side: np.ndarray, blocks: tuple[int, int]) -> list[tuple]:
         left = np.flatnonzero(side == blocks[0])
         right = np.flatnonzero(side == blocks[1])
         linked = x[left] @ x[right].T >= cosine
@@ -131,7 +131,7 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
         used = np.unique(np.concatenate((left[a], right[b])))
         place = np.full(len(rows), -1)
         place[used] = np.arange(len(used))
-        earlier = [filters[i][filters[i] < here] for i in used.tolist()]
+        earlier = [filters[i] for i in used.tolist()]
         names, inverse = np.unique(np.concatenate(earlier), return_inverse=True)
         has = np.zeros((len(used), max(1, len(names))), dtype=np.float32)
         has[np.repeat(np.arange(len(used)), [len(e) for e in earlier]), inverse] = 1
@@ -166,7 +166,7 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cuts = [0, *change.tolist(), table.num_rows]
             out: list[tuple] = []
-            rows, weight, side, here = table.column("row").to_numpy(), table.column("weight").to_numpy(), table.column("side").to_numpy(), table.column("filter").to_numpy()
+            rows, weight, side = table.column("row").to_numpy(), table.column("weight").to_numpy(), table.column("side").to_numpy()
             xs, fs = table.column("x").combine_chunks(), table.column("filters").combine_chunks()
             flat, start = xs.flatten().to_numpy(), xs.offsets.to_numpy() - xs.offsets.to_numpy()[0]
             names, name_start = fs.flatten().to_numpy(), fs.offsets.to_numpy() - fs.offsets.to_numpy()[0]
@@ -175,7 +175,7 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
                     continue
                 x = _unit(flat[start[a] : start[b]].reshape(b - a, -1))
                 filters = [names[name_start[i] : name_start[i + 1]] for i in range(a, b)]
-                out += one(x, rows[a:b], weight[a:b], filters, int(here[a]), side[a:b], (int(keys[1][a]), int(keys[2][a])))
+                out += one(x, rows[a:b], weight[a:b], filters, side[a:b], (int(keys[1][a]), int(keys[2][a])))
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["row", "other", "n"])
 
         for batch in batches:
@@ -191,7 +191,7 @@ def _bucket_links(members: DataFrame, cosine: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield worked(held)
 
-    return members.select("bucket", "first", "second", "side", "filter", "row", "weight", "x", "filters").mapInArrow(run, "row bigint, other bigint, n bigint")
+    return members.select("bucket", "first", "second", "side", "row", "weight", "x", "filters").mapInArrow(run, "row bigint, other bigint, n bigint")
 
 
 def linked_vectors(vectors: DataFrame, cosine: float = 0.98, occupancy: int = OCCUPANCY, listed: int = LISTED, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -208,11 +208,12 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.98, occupancy: int = OC
         plans[r["size"]] = (words, -NormalDist().inv_cdf(share) / r["size"] ** 0.5)
     filters = common.written(_listed(table, plans, least), "filters")
     own = table.select("row", F.xxhash64("label", F.size("x")).alias("own"))
-    one = filters.join(own, "row").select("row", "own", F.explode("filters").alias("filter")).withColumn("bucket", F.xxhash64("own", "filter"))
+    one = filters.join(own, "row").select("row", "own", F.posexplode("filters").alias("earlier", "filter")).withColumn("bucket", F.xxhash64("own", "filter"))
     sizes = one.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = one.join(sizes, "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("row", "bucket", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"), "side", "filter")
-    dealt = dealt.join(table.select("row", "weight", "x").join(filters, "row"), "row")  # a class's vector and filters travel once for each filter and pair of blocks
+    dealt = dealt.select("row", "bucket", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"), "side", "filter", "earlier")
+    # a class's vector and those of its filters that come before this one travel once for each filter and pair of blocks
+    dealt = dealt.join(table.select("row", "weight", "x").join(filters, "row"), "row").withColumn("filters", F.slice("filters", F.lit(1), F.col("earlier")))
     tasks = dealt.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
     found = common.written(_bucket_links(tasks, cosine), "found")
     counts = found.where("n is not null").groupBy("row").agg(F.sum("n").alias("n_links"))
