@@ -34,7 +34,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 4096 tokens."""
-    return packing.pack_documents(docs)
+    # fewer kept words than alone, as the executors' heaps have grown in the stages before
+    return packing.pack_documents(docs, kept=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

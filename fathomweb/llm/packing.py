@@ -31,6 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs. The bins that a group leaves half full are all that grouping costs.
 GROUP = 20_000
+#: Words whose ids a Python worker keeps for reuse, up to twice as many. Results don't depend on it: more cost memory, fewer time.
+KEPT = 200_000
 #: Words of more bytes are not kept for reuse.
 LONG = 200
 
@@ -45,7 +47,7 @@ class WordIds(dict):
     kept they become the older ones, and those of them that come up again are taken over.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = KEPT):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -127,18 +129,18 @@ class WordIds(dict):
         return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def word_ids(path: str = TOKENIZER) -> WordIds:
-    return common.held(f"words of {path}", lambda: WordIds(path))
+def word_ids(path: str = TOKENIZER, most: int = KEPT) -> WordIds:
+    return common.held(f"{most} words of {path}", lambda: WordIds(path, most))
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end token, cut after every ``capacity`` ids."""
     kind = dict(docs.dtypes)["doc_id"]
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, piece, start, length, crc = [], [], [], [], []
-        for row, packed in enumerate(word_ids(tokenizer).ids(batch.column(1))):
+        for row, packed in enumerate(word_ids(tokenizer, kept).ids(batch.column(1))):
             packed += end
             for k, begin in enumerate(range(0, len(packed), 4 * capacity)):
                 part = packed[begin : begin + 4 * capacity]
@@ -205,9 +207,9 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return salted.groupBy("_group").applyInArrow(one, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, group: int = GROUP, kept: int = KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
-    return packed(common.written(pieces(docs, capacity, tokenizer, end_id), "pieces"), capacity, group)
+    return packed(common.written(pieces(docs, capacity, tokenizer, end_id, kept), "pieces"), capacity, group)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
