@@ -29,6 +29,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+#: Rows that a scan of Parquet decodes at once: of long texts the default of 4096 is tens of MB for each task.
+READ_ROWS = 512
+
+
+def small_reads(spark: SparkSession) -> None:
+    """Bounds what each scan of Parquet in this session holds. Results don't depend on it.
+
+    Vectored reads are off, as threads that outlive the tasks keep, outside the heap, a buffer as large as the largest column of a row group.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input table ``name``; any path that Spark's readers open will do."""
     small_batches(spark)

@@ -297,6 +297,7 @@ def near_duplicates(
     Linked are documents with 100 * intersection >= percent * union of their shingle sets.
     """
     spark = docs.sparkSession
+    common.small_reads(spark)
     signed = common.written(signatures(docs, words_in_shingle, rows, bands), "signatures")
     classes = (
         signed.where("n_shingles > 0 and doc_id is not null")

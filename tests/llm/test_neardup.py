@@ -136,3 +136,20 @@ def test_pairs_within_a_large_group(spark):
     rows = [(p * 2 + side, " ".join([*common_part, *(f"p{p}w{i}" for i in range(8)), *(f"p{p}s{side}w{i}" for i in range(22))])) for p in range(1500) for side in range(2)]
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert got(found) == sorted((d, 220, d - d % 2, d % 2 == 0) for d, _ in rows)
+
+
+def test_reads_keep_no_large_buffers(spark, tmp_path):
+    """A row group's texts are 24 MB; none of the JVM's threads may keep them outside the heap when the work is done."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.bytes(6_000).hex()) for i in range(2000)]
+    where = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.option("compression", "none").parquet(where)
+    jvm = spark.sparkContext._jvm
+    kind = jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+
+    def direct():
+        return sum(x.getMemoryUsed() for x in jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(kind) if x.getName() == "direct")
+
+    before = direct()
+    assert neardup.near_duplicates(spark.read.parquet(where)).where("kept").count() == len(rows)
+    assert direct() - before < 12_000_000
