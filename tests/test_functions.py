@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 import pytest
 
+from fathomweb import queries
 from fathomweb.config import CrawlConfig, read_config
-from fathomweb.functions import html, scalars, urls
+from fathomweb.functions import html, robots, scalars, urls
 from pyspark.sql import functions as F
 
 
@@ -55,6 +57,31 @@ def test_math_needs_mathjax_on_demand(spark):
     assert values(spark, html.math, [page]) == [["$x$"]]
 
 
+def test_robots_as_sql_where_it_is_determined(spark):
+    """The first crawl-delay that is a whole number counts; any character but a line feed may stand in a value."""
+    files = {
+        "a": "User-agent: *\nCrawl-delay: x\nCrawl-delay: 5\nCrawl-delay: 7", "b": "User-agent: *\nCrawl-delay: 99999999999\nCrawl-delay: 3", "c": "User-agent: *\nCrawl-delay:\nCrawl-delay: +6", "d": "User-agent: *\nCrawl-delay: 2.5",
+        "e": "User-agent: *\nDisallow: /a\u2028b\nDisallow: /c\x85\nDisallow: \x0b/d", "f": "User-agent: *\nCrawl-delay: 5\x01",
+    }
+    con = duckdb.connect()
+    con.execute("create table pages (url varchar, page_id bigint)")
+    con.execute("create table robots (authority varchar, body varchar)")
+    con.executemany("insert into robots values (?, ?)", list(files.items()))
+    sql = queries.ORACLE_SQL["robots_parse"].replace(queries.rows_of("robots"), "robots")
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    df = robots.parse(spark.createDataFrame(list(files.items()), "authority string, body string"))
+    assert {r.authority: (",".join(r.disallow), ",".join(r.sitemap), r.crawl_delay) for r in df.collect()} == want
+    assert [want[k][2] for k in "abcdef"] == [5, 3, 6, None, None, None]
+
+
+def test_robots_of_one_authority_twice(spark):
+    """Neither the order of rows nor their partitions decide, where places tie."""
+    files = [("a", f"User-agent: *\nDisallow: /{i}\nCrawl-delay: {i}") for i in (3, 11, 7, 0)] + [("b", "User-agent: *\nDisallow: /x"), ("b", "User-agent: other\nUser-agent: *"), ("b", "Disallow: /y\n\nDisallow: /z")]
+    for order in (files, files[::-1], files[2:] + files[:2]):
+        df = robots.parse(spark.createDataFrame(order, "authority string, body string").repartition(3))
+        assert {r.authority: (r.disallow, r.crawl_delay) for r in df.collect()} == {"a": (["/0", "/11", "/3", "/7"], 11), "b": (["/z"], None)}
+
+
 def test_durations(spark):
     df = spark.createDataFrame([(0,), (1,), (90_061_001,), (31_536_000_000,)], "x bigint")
     assert [r[0] for r in df.select(scalars.duration_text(F.col("x"))).collect()] == ["0 milliseconds", "1 milliseconds", "1 days 1 hours 1 minutes 1 seconds 1 milliseconds", "1 years"]
