@@ -830,7 +830,7 @@ def crawl_rounds(spark, sf_dir):
     """A crawl of a closed graph from one seed: each URL in the round that first reaches it."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     both = p.select("k", (F.col("k") * 3 + 1).alias("dst")).union(p.select("k", F.floor(F.col("k") / 2)))
-    edges = both.join(p.select(F.col("k").alias("dst")), "dst", "left_semi")
+    edges = both.join(p.select(F.col("k").alias("dst")).hint("merge"), "dst", "left_semi")  # a table of parts is not to be broadcast
     name = lambda c: F.concat(F.lit("http://n.test/"), F.col(c).cast("string"))
     start = spark.range(1).select(F.lit("http://n.test/5").alias("url"))
     return rounds.crawl(edges.select(name("k").alias("src"), name("dst").alias("dst")), start, CrawlConfig(max_urls=None))

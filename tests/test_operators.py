@@ -152,3 +152,20 @@ def test_crawl_goes_on_until_nothing_is_new(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(53)], "src string, dst string").coalesce(1)
     start = spark.createDataFrame([("0",)], "url string")
     assert rounds.Crawl(spark, CrawlConfig(max_urls=None)).run(edges, start).count() == 54
+
+
+@pytest.mark.parametrize("sent", [0, 450, 1 << 20])
+def test_crawl_broadcasts_what_is_small(spark, monkeypatch, sent):
+    """Neither a front nor what has been visited is broadcast beyond ``SENT`` bytes, however small its files are; the result is the same."""
+    pairs = [(i, j) for i in range(60) for j in (3 * i + 1, 3 * i + 2, i // 2) if j < 60]
+    edges, start = spark.createDataFrame([(str(i), str(j)) for i, j in pairs], "src string, dst string").coalesce(1), spark.createDataFrame([("5",)], "url string")
+    plans, written = [], rounds._written
+    monkeypatch.setattr(rounds, "SENT", sent, raising=False)
+    monkeypatch.setattr(rounds, "_written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    got = rows(rounds.crawl(edges, start, CrawlConfig(max_urls=None)))
+    want, front = {5: 0}, {5}
+    while front:
+        front = {j for i, j in pairs if i in front} - set(want)
+        want |= dict.fromkeys(front, max(want.values()) + 1)
+    assert got == sorted((str(i), k) for i, k in want.items())
+    assert any("BroadcastExchange" in plan for plan in plans) == (sent > 0)
